@@ -5,9 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quorumlake.llm import oracles
-from quorumlake.llm.shared import read_table
+from quorumlake.llm.shared import read_table, word_count
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorumlake.llm.mixing import mix
+
+    docs = read_table(spark, sf_dir, "documents")
+    mixed = mix(docs.select("doc_id", "source", "text"), word_count(F.col("text")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorumlake.llm.line_dedup import dedup_lines
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorumlake.llm.decontaminate import find_contamination
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +44,9 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_decontaminate": op6_decontaminate,
     "op7_token_count": op7_token_count,
 }
 
