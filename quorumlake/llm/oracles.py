@@ -31,7 +31,21 @@ SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM dw LEFT JOIN hit ON hit.doc_id = dw.doc_id LEFT JOIN its ON its.doc_id = dw.doc_id
 """
 
+REPEATS = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM dw WHERE len(w) >= 35)),
+again AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS q FROM win WHERE h IN (SELECT h FROM again)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM dw WHERE len(w) > 0),
+kept AS (
+  SELECT words.doc_id, count(*) FILTER (gone.q IS NOT NULL) AS n, string_agg(word, ' ' ORDER BY words.q) FILTER (gone.q IS NULL) AS s
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.q = words.q GROUP BY words.doc_id)
+SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM dw LEFT JOIN kept ON kept.doc_id = dw.doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op4_line_dedup": LINES,
     "op6_decontaminate": CONTAMINATION,
+    "op9_substring_dedup": REPEATS,
 }
