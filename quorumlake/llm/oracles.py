@@ -44,8 +44,23 @@ SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed
 FROM dw LEFT JOIN kept ON kept.doc_id = dw.doc_id
 """
 
+NEAR = r"""
+WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, hash(array_to_string(w[p:p + least(len(w), 5) - 1], ' '), least(len(w), 5)) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM dw WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS to_id FROM documents UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.to_id),
+least_of AS (SELECT node, min(to_id) AS component_id FROM reach GROUP BY node)
+SELECT dw.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, dw.doc_id = component_id AS kept
+FROM dw LEFT JOIN n ON n.doc_id = dw.doc_id JOIN least_of ON least_of.node = dw.doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op4_line_dedup": LINES,
     "op6_decontaminate": CONTAMINATION,
+    "op8_near_dedup": NEAR,
     "op9_substring_dedup": REPEATS,
 }

@@ -43,6 +43,12 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorumlake.llm.near_dedup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quorumlake.llm.substring_dedup import dedup_substrings
 
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_count": op7_token_count,
+    "op8_near_dedup": op8_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
 

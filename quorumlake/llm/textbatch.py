@@ -196,3 +196,7 @@ def digest64(*parts: bytes) -> int:
         h.update(len(p).to_bytes(8, "little"))
         h.update(p)
     return int.from_bytes(h.digest(), "little", signed=True)
+
+
+def digest128(part: bytes) -> bytes:
+    return hashlib.blake2b(part, digest_size=16).digest()
