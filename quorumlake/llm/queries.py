@@ -19,6 +19,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorumlake.llm.fingerprint import with_neighbour
+
+    docs = with_neighbour(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quorumlake.llm.line_dedup import dedup_lines
 
@@ -26,6 +33,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorumlake.llm.language import identify
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs).select("doc_id", "held_out", "lang_pred", "score", "coverage")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quorumlake.llm.decontaminate import find_contamination
 
@@ -58,7 +72,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_fingerprint": op3_fingerprint,
     "op4_line_dedup": op4_line_dedup,
+    "op5_language": op5_language,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_count": op7_token_count,
     "op8_near_dedup": op8_near_dedup,

@@ -140,7 +140,7 @@ def words(texts: Texts, rule: WordRule) -> Words:
     return Words(h, np.searchsorted(start, texts.offsets).astype(np.int64), start, end)
 
 
-def _roll(h: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
+def roll(h: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
     """Polynomial hash of every k consecutive values, by doubling."""
     done, length, part, size = None, 0, h, 1
     with np.errstate(over="ignore"):
@@ -163,7 +163,7 @@ def grams(h: np.ndarray, ptr: np.ndarray, k: int, salt: int = 0) -> tuple[np.nda
     base = np.uint64((int(_GRAM) + 2 * salt * 0x5851F42D4C957F2D) % (1 << 64))
     ends = np.repeat(ptr[1:], np.diff(ptr))[: n - k + 1]
     at = np.flatnonzero(np.arange(n - k + 1) + k <= ends)
-    return mix(_roll(h, k, base)[at] + np.uint64(k)), at
+    return mix(roll(h, k, base)[at] + np.uint64(k)), at
 
 
 def sliding_min(key: np.ndarray, w: int) -> np.ndarray:
