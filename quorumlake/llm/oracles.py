@@ -58,9 +58,40 @@ SELECT dw.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, dw.doc_i
 FROM dw LEFT JOIN n ON n.doc_id = dw.doc_id JOIN least_of ON least_of.node = dw.doc_id
 """
 
+CHATS = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, regexp_replace(text, '(\\|### |: |</turn>)', '\\\1', 'g') AS safe,
+         CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE '=' || regexp_replace(role, '(\\|### |: |</turn>)', '\\\1', 'g') END AS name,
+         lag(role, 1, '') OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS final
+  FROM t),
+j AS (
+  SELECT *, CASE before WHEN '' THEN role IN ('system', 'user') AND (SELECT count(*) FROM t x WHERE x.conv_id = e.conv_id AND x.turn < e.turn) = 0
+                        WHEN 'system' THEN role = 'user' WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' ELSE false END AS fine FROM e)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(4 + length(name) + 2 + length(safe) + 8)::BIGINT AS formatted_chars, bool_and(fine) AND bool_or(final AND role = 'assistant') AS complete
+FROM j GROUP BY conv_id
+"""
+
+#: For pages without redirects or canonical links, as the synthetic ones are; tests cover the rest by brute force.
+URLS = r"""
+WITH p AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) v(rh, rp, verdict)),
+m AS (SELECT p.page_id, max_by(rh || rp, length(rh || rp)) AS rule, max_by(verdict, length(rh || rp)) AS verdict FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY p.page_id)
+SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m ON m.page_id = p.page_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_chat_format": CHATS,
     "op4_line_dedup": LINES,
     "op6_decontaminate": CONTAMINATION,
     "op8_near_dedup": NEAR,
     "op9_substring_dedup": REPEATS,
+    "op10_url_filter": URLS,
 }
