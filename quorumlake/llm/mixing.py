@@ -16,7 +16,7 @@ from quorumlake.llm.shared import materialise
 #: Documents that one group of the flight phase holds on average.
 GROUP = 2000
 #: Fractional documents of a source that are left for the landing.
-LANDING = 12
+LANDING = 16
 #: A document is taken at most so often.
 MOST = 3
 
