@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quorumlake.plans import scoring_queries
+from quorumlake.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+for _part in (scoring_queries,):
+    QUERIES |= _part.R.queries
+    ORACLES |= _part.R.oracles
