@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quorumlake.llm import textbatch as tb
 from quorumlake.llm.shared import partitions
@@ -59,7 +60,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     keep = [c for c in docs.columns if c != "fingerprint"]
     at = keep.index(text)
-    schema = docs.select(*keep).schema.add("fingerprint", "array<struct<hash:long,place:long>>")
+    schema = docs.select(*keep).schema.add("fingerprint", T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("place", T.LongType())])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
