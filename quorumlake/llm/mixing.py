@@ -122,7 +122,7 @@ def _settle(seed: int, level: int, last: bool) -> Callable[[pd.DataFrame], pd.Da
         own.shuffle(order)
         pdf = pdf.iloc[order]
         sizes = pdf["size"].to_numpy()
-        p = flight(pdf["p"].to_numpy(), sizes, own.getrandbits(60), LANDING if last else 2)
+        p = flight(pdf["p"].to_numpy(), sizes, own.getrandbits(60), LANDING if last else LANDING // 2)
         return pdf.assign(p=landing(p, sizes) if last else p)[COLUMNS]
 
     return settle
@@ -136,10 +136,10 @@ def mix(docs: DataFrame, size: Column, seed: int = 0, group: int = GROUP) -> Dat
 
     Every document of a source is taken floor(r) times, r being target over size of its source, and once more with
     probability r - floor(r).  The cube method draws these: in hash groups of about ``group`` documents the
-    probabilities move in the null space of two totals, sizes and documents, until two of a group are open; those are
+    probabilities move in the null space of two totals, sizes and documents, until a few of a group are open; those are
     regrouped and moved on, level by level, until a source has LANDING open ones, which an exhaustive search rounds.
     Only narrow rows are shuffled, no text; a source of any size is split into groups, and the number of levels is the
-    logarithm of the number of documents to the base group/2.
+    logarithm of the number of documents to the base group / 8.
 
     Nulls: a null source is one source, the last; a null size counts 0; a null doc_id is an id.  Repeated rows are
     documents of their own.  A source of size 0 gets target 0, and its documents are not taken.  An empty table gives
