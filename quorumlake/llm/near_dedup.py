@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.llm import textbatch as tb
-from quorumlake.llm.shared import connected_components, materialise
+from quorumlake.llm.shared import connected_components, materialise, partitions
 
 #: Words of a shingle, and the similarity in hundredths from which two documents are linked.
 SHINGLE = 5
@@ -21,8 +22,9 @@ DEPTH = 2
 #: Minhashes that a pair is judged by before it is confirmed, the tables' own among them, a byte of each; and in how many
 #: they must agree, which a pair at the threshold misses with a chance of 5e-5.
 SKETCH, AGREE = 128, 76
-#: Members of a cell that each is held against, and rounds, each over a share of the cells of its own.
-NEIGHBOURS, ROUNDS = 12, 2
+#: Sets of a cell that a task holds against each other at once (a larger cell is cut into blocks, and every two of them
+#: meet), rows that a task reads before it does so, and pairs that are confirmed together.
+BLOCK, ROWS, PAIRS = 1000, 10_000, 5_000
 #: Bits of the filter of sets that are to be confirmed: a fixed 4 MB.
 FILTER_BITS = 1 << 25
 
@@ -88,17 +90,19 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
 
 def _cells(classes: DataFrame) -> DataFrame:
-    """cell, cls, first: sets in the cells of the tables that two sets or more share, and each cell's first set.
+    """cell, place, cls, first, size: sets in the cells of the tables that two sets or more share, the cell's table, its
+    first set and how many there are.
 
     A table is a key of one collection combined with a key of the other.  Keys that only one set has are dropped first,
     so the combinations are made for the few sets that may meet.  Sets are in the same order in all cells.
     """
-    keys = classes.select("cls", F.explode(F.concat(F.transform("u", lambda x: F.struct(F.lit(0).alias("side"), x.alias("key"))), F.transform("v", lambda x: F.struct(F.lit(1).alias("side"), x.alias("key"))))).alias("k")).select("cls", "k.*")
+    keys = classes.select("cls", F.posexplode(F.concat("u", "v")).alias("at", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = keys.join(shared, "key").groupBy("cls").agg(F.collect_list(F.when(F.col("side") == 0, F.col("key"))).alias("u"), F.collect_list(F.when(F.col("side") == 1, F.col("key"))).alias("v"))
-    cells = met.select("cls", "v", F.explode("u").alias("one")).select("cls", "one", F.explode("v").alias("two")).select("cls", F.xxhash64("one", "two").alias("cell"))
-    cells = materialise(cells)
-    first = cells.groupBy("cell").agg(F.min("cls").alias("first"), F.count("*").alias("n")).where("n > 1").select("cell", "first")
+    one, two = F.col("at") < COLLECTION, F.struct("at", "key")
+    met = keys.join(shared, "key").groupBy("cls").agg(F.collect_list(F.when(one, two)).alias("u"), F.collect_list(F.when(~one, two)).alias("v"))
+    cells = met.select("cls", "v", F.explode("u").alias("one")).select("cls", "one", F.explode("v").alias("two"))
+    cells = materialise(cells.select("cls", F.xxhash64("one.key", "two.key").alias("cell"), (F.col("one.at") * COLLECTION + F.col("two.at") - COLLECTION).cast("int").alias("place")))
+    first = cells.groupBy("cell").agg(F.min("cls").alias("first"), F.count("*").alias("size")).where("size > 1")
     return materialise(cells.join(first, "cell"))
 
 
@@ -132,55 +136,101 @@ def _heads(cells: DataFrame, classes: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a binary, b binary, na long, nb long")
 
 
-def _across(cells: DataFrame, groups: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
-    """Pairs a < b that meet in a cell, may link, and aren't in one group yet.
+def _across(cells: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs a < b that meet in a cell, may link, and aren't in one group yet; same: in how many minhashes they agree.
 
-    The sets of a cell are sorted by their sketches, from a place that a hash of the cell draws, so that similar sets
-    stand side by side and each of a set's many cells brings others to its side.  A set is held against the NEIGHBOURS
-    before it, all sets in small cells, and proposes the likeliest of another group, one pair for each of its cells at
-    most.  A cell of any size takes comparisons in proportion to its members, and a task holds a batch of them.  Pairs
-    inside a group could join nothing and are left out, as are cells of one group.  A round takes its share of the cells,
-    so what it joins spares the next ones pairs.
+    Every two sets of a cell are compared.  A cell of more than BLOCK sets is cut into blocks by a hash of the set, and a
+    row of a set goes to each pair of blocks that its own belongs to, so tasks share the comparisons and hold two blocks at
+    once.  Pairs inside a group could join nothing and are left out, as are cells of one group.  Of the cells that a pair
+    meets in, the one of the first keys they share counts, so each pair comes once.
     """
-    label = cells.where(F.pmod("cell", F.lit(ROUNDS)) == turn).join(groups, F.col("cls") == F.col("node"), "left").select("cell", "cls", F.coalesce("component", "cls").alias("grp"))
+    label = cells.join(groups, F.col("cls") == F.col("node"), "left").select("cell", "place", "cls", "size", F.coalesce("component", "cls").alias("grp"))
     key = F.xxhash64("grp")
     mixed = label.groupBy("cell").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low < high").select("cell")
-    live = label.join(mixed, "cell").join(classes.select("cls", "n", "sketch"), "cls")
-    place = F.pmod(F.xxhash64("cell"), F.lit(SKETCH)).cast("int")
-    at = F.concat("sketch", "sketch").substr(place + 1, F.lit(24))
-    rows = live.select("cell", "cls", "grp", "n", "sketch", at.alias("at")).repartition("cell").sortWithinPartitions("cell", "at", "cls")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = label.join(mixed, "cell").withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cell", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "place", "cls", "grp")
+    rows = dealt.join(classes.select("cls", "n", "sketch", "u", "v"), "cls").select("cell", "lo", "hi", "part", "place", "cls", "grp", "n", "sketch", "u", "v")
+    rows = rows.repartition(partitions(rows.sparkSession), "cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        """All pairs of the blocks in a table of whole blocks."""
+        cell, lo, hi, part, place, n = (table[c].to_numpy() for c in ("cell", "lo", "hi", "part", "place", "n"))
+        names, group, sketch = (_bytes(table[c].combine_chunks(), size) for c, size in (("cls", 16), ("grp", 16), ("sketch", SKETCH)))
+        keys = [np.ascontiguousarray(table[c].combine_chunks().flatten().to_numpy().reshape(-1, COLLECTION).T) for c in ("u", "v")]
+        tables = np.divmod(place, COLLECTION)
+        group = np.unique(np.ascontiguousarray(group).view("V16").ravel(), return_inverse=True)[1]
+        begins = np.concatenate([[True], _new(cell, lo, hi)])
+        rank = np.arange(len(cell)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        order = np.argsort(-rank, kind="stable")
+        over = np.searchsorted(-rank[order], -np.arange(rank.max() + 2), side="right")
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i in range(1, int(rank.max()) + 1):
+            for y in np.array_split(order[: over[i]], over[i] // 20_000 + 1):
+                y = y[group[y] != group[y - i]]
+                x = y - i
+                fits = (100 * np.minimum(n[x], n[y]) >= LINK * np.maximum(n[x], n[y])) & ((lo[x] == hi[x]) | (part[x] != part[y]))
+                x, y = x[fits], y[fits]
+                for k in range(COLLECTION - 1):  # pairs that share an earlier key come from its cell
+                    for own_keys, at in zip(keys, tables, strict=True):
+                        if len(x):
+                            first = (at[x] <= k) | (own_keys[k][x] != own_keys[k][y])
+                            x, y = x[first], y[first]
+                if len(x):
+                    same = _agreement(sketch[x], sketch[y], n[x], n[y])
+                    if same.any():
+                        found.append((x[same > 0], y[same > 0], same[same > 0]))
+        x, y, same = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in range(3))
+        return pa.RecordBatch.from_arrays([*(pa.array([r.tobytes() for r in names[e]], pa.binary()) for e in (x, y)), pa.array(n[x]), pa.array(n[y]), pa.array(same, pa.int64())], names=["x", "y", "nx", "ny", "same"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: pa.Table | None = None
+        rest: list[pa.RecordBatch] = []
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            old = 0 if before is None else len(before)
-            table = (table if before is None else pa.concat_tables([before, table])).combine_chunks()
-            cell, n = table["cell"].to_numpy(), table["n"].to_numpy()
-            names, group, sketch = (_bytes(table[c].combine_chunks(), size) for c, size in (("cls", 16), ("grp", 16), ("sketch", SKETCH)))
-            most, other = np.zeros(len(cell), dtype=np.int64), np.zeros(len(cell), dtype=np.int64)
-            for i in range(1, NEIGHBOURS + 1):
-                later = np.arange(max(i, old), len(cell))
-                later = later[(cell[later] == cell[later - i]) & (group[later] != group[later - i]).any(axis=1)]
-                for part in np.array_split(later, len(later) // 50_000 + 1):
-                    same = _agreement(sketch[part], sketch[part - i], n[part], n[part - i])
-                    better = part[same > most[part]]
-                    most[better], other[better] = same[same > most[part]], better - i
-            hit = np.flatnonzero(most)
-            if len(hit):
-                hit = hit[np.unique(np.ascontiguousarray(np.concatenate([names[hit], names[other[hit]]], axis=1)).view("V32").ravel(), return_index=True)[1]]
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in names[other[hit]]], pa.binary()), pa.array([x.tobytes() for x in names[hit]], pa.binary()), pa.array(n[other[hit]]), pa.array(n[hit])], names=["x", "y", "nx", "ny"])
-            before = table.slice(max(0, len(cell) - NEIGHBOURS))
-
-    found = rows.select("cell", "cls", "grp", "n", "sketch").mapInArrow(run, "x binary, y binary, nx long, ny long")
+            ends = np.flatnonzero(_new(*(batch.column(c).to_numpy() for c in ("cell", "lo", "hi")))) + 1
+            before = rest[-1].slice(len(rest[-1]) - 1) if rest else None
+            if before is not None and any(before.column(c)[0] != batch.column(c)[0] for c in ("cell", "lo", "hi")):
+                ends = np.concatenate([[0], ends])
+            if len(ends) and sum(map(len, rest)) + ends[-1] >= ROWS:
+                yield compare(pa.Table.from_batches([*rest, batch.slice(0, ends[-1])]).combine_chunks())
+                rest = [batch.slice(ends[-1])]
+            else:
+                rest.append(batch)
+        if sum(map(len, rest)):
+            yield compare(pa.Table.from_batches(rest).combine_chunks())
+
+    found = rows.mapInArrow(run, "x binary, y binary, nx long, ny long, same long")
     up = F.col("x") < F.col("y")
     pick = lambda yes, no, name: F.when(up, F.col(yes)).otherwise(F.col(no)).alias(name)
-    return found.select(pick("x", "y", "a"), pick("y", "x", "b"), pick("nx", "ny", "na"), pick("ny", "nx", "nb")).distinct()
+    return found.select(pick("x", "y", "a"), pick("y", "x", "b"), pick("nx", "ny", "na"), pick("ny", "nx", "nb"), "same")
+
+
+def _new(*keys: np.ndarray) -> np.ndarray:
+    """Whether each row but the first has other keys than the row before."""
+    return np.any([k[1:] != k[:-1] for k in keys], axis=0)
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """One pair for each set: that with the partner whose sketch agrees most."""
+    row = F.struct("same", "a", "b", "na", "nb").alias("row")
+    ends = pairs.select(F.col("a").alias("cls"), row).union(pairs.select("b", row))
+    return ends.groupBy("cls").agg(F.max("row").alias("row")).select("row.a", "row.b", "row.na", "row.nb").distinct()
+
+
+def _unresolved(pairs: DataFrame, tried: DataFrame, groups: DataFrame) -> DataFrame:
+    """Those of the pairs that weren't confirmed or refused yet and whose sets are in different groups."""
+    left = pairs.join(tried, ["a", "b"], "left_anti")
+    for end, name in (("a", "ga"), ("b", "gb")):
+        left = left.join(groups.select(F.col("node").alias(end), F.col("component").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
+    return left.where("ga <> gb").select("a", "b", "na", "nb")
 
 
 def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b, na, nb) whose full sets are similar enough."""
     likely = materialise(pairs)
+    total = likely.count()
+    if not total:
+        return likely.select("a", "b")
     needed = likely.select(F.col("a").alias("cls")).union(likely.select("b")).distinct()
     bits = docs.sparkSession.sparkContext.broadcast(_filter_of(needed))
 
@@ -202,9 +252,46 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     full = docs.select("text").mapInArrow(sets, "cls binary, own array<long>").join(needed, "cls", "left_semi").dropDuplicates(["cls"])
     full = materialise(full)
-    both = likely.join(full.select(F.col("cls").alias("a"), F.col("own").alias("sa")), "a").join(full.select(F.col("cls").alias("b"), F.col("own").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= LINK * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    # a task gets the pairs between two shares of the sets, and each set that has one of them once
+    shares = F.lit(max(4, math.ceil(math.sqrt(total / PAIRS))))
+    block = F.pmod(F.xxhash64("a"), shares) * shares + F.pmod(F.xxhash64("b"), shares)
+    dealt = materialise(likely.withColumn("block", block))
+    ends = dealt.select("block", F.col("a").alias("cls")).union(dealt.select("block", "b")).distinct()
+    given = ends.join(full, "cls").select("block", F.lit(0).alias("kind"), F.col("cls").alias("a"), F.lit(None).cast("binary").alias("b"), "own")
+    asked = dealt.select("block", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<long>").alias("own"))
+    return given.union(asked).repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "kind", "a").mapInArrow(_confirm, "a binary, b binary")
+
+
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sets are similar enough, of blocks that bring their sets first and then their pairs, in order of a."""
+    own: dict[bytes, np.ndarray] = {}
+    now = None
+    for batch in batches:
+        block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero(_new(block, kind)) + 1, [len(block)]]) if len(block) else []
+        out: list[tuple[bytes, bytes]] = []
+        for i, j in zip(starts[:-1], starts[1:], strict=True):
+            if block[i] != now:
+                now, own = block[i], {}
+            names = batch.column(2).slice(i, j - i).to_pylist()
+            if kind[i] == 0:
+                lists = batch.column(4).slice(i, j - i)
+                ptr = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                values = lists.flatten().to_numpy().view(np.uint64).copy()
+                own |= {x: values[p:q] for x, p, q in zip(names, ptr[:-1], ptr[1:], strict=True)}
+                continue
+            partners: dict[bytes, list[bytes]] = {}
+            for x, y in zip(names, batch.column(3).slice(i, j - i).to_pylist(), strict=True):
+                partners.setdefault(x, []).append(y)
+            for x, others in partners.items():
+                mine, theirs = own[x], [own[y] for y in others]
+                sizes = np.array([len(t) for t in theirs])
+                told = np.concatenate(theirs)
+                hit = mine[np.minimum(np.searchsorted(mine, told), len(mine) - 1)] == told
+                common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+                out += [(x, others[k]) for k in np.flatnonzero(100 * common >= LINK * (len(mine) + sizes - common))]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], names=["a", "b"])
 
 
 def _filter_of(needed: DataFrame) -> np.ndarray:
@@ -233,8 +320,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     tables whose keys combine a key of either of two small collections of minhashes: 144 tables for 48 minhashes, which
     miss a pair at the threshold with a chance of 1e-4 and likelier pairs with less.  Pairs whose sketches and set
     sizes allow a link are confirmed on the full sets, which another pass makes for those texts alone.  First each class
-    is paired with one other, then what stands side by side across the groups found, then what stands near: a large group
-    takes some pairs for each member.
+    is paired with one other; then every two classes of a cell are compared that are in different groups, of which the
+    likeliest pair of each class is confirmed first and then all pairs that are still between two groups.
 
     Null and empty texts, and texts without words, have the empty set and are their own group.  Rows of one doc_id are
     judged by their own texts; a null doc_id never names a group that has an id.  Rows without one in a group of their
@@ -247,8 +334,10 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     cells = _cells(classes)
     links = materialise(_links(source, _heads(cells, classes)))
     groups = materialise(connected_components(links))
-    for turn in range(ROUNDS):
-        found = materialise(_links(source, _across(cells, groups, classes, turn)))
+    likely = materialise(_across(cells, groups, classes))
+    tried = materialise(_likeliest(likely))
+    for pairs in (lambda: tried, lambda: _unresolved(likely, tried, groups)):
+        found = materialise(_links(source, pairs()))
         if not found.isEmpty():
             links = links.union(found)
             groups = materialise(connected_components(links))
