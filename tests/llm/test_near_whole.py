@@ -88,3 +88,13 @@ def test_a_likelier_partner_hides_no_pair(spark, monkeypatch):
     left, found = untried(spark, monkeypatch, texts, families)
     assert left == 0
     assert found == exact_groups(texts, families)
+
+
+@pytest.mark.parametrize("block", [60])
+def test_large_cells_are_compared_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block, raising=False)
+    rng = random.Random(12)
+    texts, families = laid_out([family(rng, 400, 40)])
+    wanted = exact_groups(texts, families)
+    assert len(set(wanted.values())) == len(texts) - 40
+    assert groups_of(spark, texts) == wanted
