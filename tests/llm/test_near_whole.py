@@ -98,3 +98,11 @@ def test_large_cells_are_compared_whole(spark, monkeypatch, block):
     wanted = exact_groups(texts, families)
     assert len(set(wanted.values())) == len(texts) - 40
     assert groups_of(spark, texts) == wanted
+
+
+def test_all_cells_are_looked_at_until_no_likely_pair_is_left(spark, monkeypatch):
+    rng = random.Random(13)
+    texts, families = laid_out([*(star(rng) for _ in range(30)), *(family(rng, 20, 2) for _ in range(10))])
+    left, found = untried(spark, monkeypatch, texts, families)
+    assert left == 0
+    assert found == exact_groups(texts, families)
