@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.llm import textbatch as tb
-from quorumlake.llm.shared import materialise
+from quorumlake.llm.shared import bitmap_of, in_bitmap, materialise
 
 #: Words of a window; a shared span of so many is always found.
 SPAN = 13
@@ -64,20 +64,6 @@ def _benchmark_prints(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, schema)
 
 
-def _filter_of(prints: DataFrame) -> np.ndarray:
-    """Bitmap of all fingerprints; what comes to the driver is at most its FILTER_BITS, one row for each byte set."""
-    rows = prints.selectExpr(f"cast(shiftright(pmod(fp, {FILTER_BITS}), 3) as int) AS byte", "shiftleft(1, cast(pmod(fp, 8) as int)) AS bit").groupBy("byte").agg(F.bit_or("bit").alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    table = rows.toArrow()
-    bits[table["byte"].to_numpy()] = table["bits"].to_numpy().astype(np.uint8)
-    return bits
-
-
-def _in(bits: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    slot = tb.signed(fp) % FILTER_BITS
-    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
-
-
 def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """What of each document also stands in a benchmark.
 
@@ -96,7 +82,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text") ->
     """
     spark = docs.sparkSession
     prints = materialise(_benchmark_prints(items.select(F.col("text").cast("string"))).dropDuplicates(["cls", "fp", "at"]))
-    bits = spark.sparkContext.broadcast(_filter_of(prints))
+    bits = spark.sparkContext.broadcast(bitmap_of(prints.select("fp"), FILTER_BITS))
     short = sorted(r[0] for r in prints.where(F.col("len") < SPAN).select("len").distinct().collect())  # SPAN - 1 numbers at most
     member = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string"))
 
@@ -113,7 +99,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text") ->
                 found: list[list[dict]] = [[] for _ in range(len(texts))]
                 for size in [*short, SPAN]:
                     fp, at = winnow(w, GRAM, SPAN) if size == SPAN else tb.grams(w.hash, w.ptr, size)
-                    ok = _in(table, fp) if len(fp) else np.zeros(0, dtype=bool)
+                    ok = in_bitmap(table, tb.signed(fp)) if len(fp) else np.zeros(0, dtype=bool)
                     for f, a in zip(tb.signed(fp[ok]).tolist(), at[ok].tolist(), strict=True):
                         i = owner[a]
                         lo, hi = (max(w.ptr[i], a - SPAN + GRAM), min(w.ptr[i + 1], a + SPAN)) if size == SPAN else (a, a + size)

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.llm import textbatch as tb
-from quorumlake.llm.shared import connected_components, materialise, partitions
+from quorumlake.llm.shared import Scratch, bitmap_of, connected_components, in_bitmap, join_sized, materialise, partitions
 
 #: Words of a shingle, and the similarity in hundredths from which two documents are linked.
 SHINGLE = 5
@@ -19,20 +18,25 @@ LINK = 75
 #: Keys of each of the two collections, and minhashes of a key: COLLECTION ** 2 tables for 2 * COLLECTION * DEPTH minhashes.
 COLLECTION = 12
 DEPTH = 2
-#: Minhashes that a pair is judged by before it is confirmed, the tables' own among them, a byte of each; and in how many
-#: they must agree, which a pair at the threshold misses with a chance of 5e-5.
-SKETCH, AGREE = 128, 76
-#: Sets of a cell that a task holds against each other at once (a larger cell is cut into blocks, and every two of them
-#: meet), rows that a task reads before it does so, and pairs that are confirmed together.
-BLOCK, ROWS, PAIRS = 1000, 10_000, 5_000
-#: Bits of the filter of sets that are to be confirmed: a fixed 4 MB.
+#: Bins of the sketch that pairs are judged by before they are confirmed, and how many standard deviations below the
+#: threshold a pair may look: one at the threshold is missed with a chance of 3e-6.
+BINS, SPREAD = 128, 4.5
+#: Sets and shingles of a block (a larger bucket is cut into blocks, and every two of them meet in a task); and shingles
+#: that a task gathers before it compares, a set counting ROW more.
+BLOCK, BLOCK_SHINGLES, GATHERED, ROW = 1000, 1 << 20, 1 << 21, 64
+#: Pairs that are confirmed before links are looked at again.
+ROUND = 4000
+#: Bits of the filter of rows whose sets are needed: a fixed 4 MB.
 FILTER_BITS = 1 << 25
 
 _RULE = tb.spaced_words(fold_case=True)
 _HASHES = 2 * COLLECTION * DEPTH
-_A = tb.mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
+_A = tb.mix(np.arange(1, _HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _B = tb.mix(_A) | np.uint64(1)
 _NONE = b""
+_FILLED = np.arange(BINS + 1)
+#: Bins that must agree, by the number of bins that either of two sketches fills.
+_AGREE = np.maximum(1, np.ceil((_FILLED * LINK - SPREAD * np.sqrt(_FILLED * LINK * (100 - LINK))) / 100))
 
 
 def _ranked(h: np.ndarray, j: int) -> np.ndarray:
@@ -54,155 +58,235 @@ def shingles(w: tb.Words) -> tuple[np.ndarray, np.ndarray]:
     return h, ptr
 
 
-def _sets(texts: tb.Texts) -> list[np.ndarray]:
-    h, ptr = shingles(tb.words(texts, _RULE))
-    return [np.unique(h[ptr[i] : ptr[i + 1]]) for i in range(len(texts))]
-
-
 def _class_of(own: np.ndarray) -> bytes:
     """128-bit name of a set of shingles; none for an empty one."""
     return tb.digest128(own.tobytes()) if len(own) else _NONE
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), cls (name of the set), sketch, u and v (keys of the two collections)."""
+    """doc_id, row (hash of id and text), n (size of the set), cls (its name), u and v (keys of the two collections)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in tb.slices(batch.column(1)):
+            for texts in tb.slices(batch.column(2)):
                 h, ptr = shingles(tb.words(texts, _RULE))
                 own = [np.unique(h[ptr[i] : ptr[i + 1]]) for i in range(len(texts))]
                 full = np.flatnonzero(np.diff(ptr) > 0)
-                m = np.zeros((len(texts), SKETCH), dtype=np.uint32)
+                low = np.zeros((_HASHES, len(texts)), dtype=np.uint64)
                 if len(full):
-                    for j in range(SKETCH):
-                        m[full, j] = np.minimum.reduceat(_ranked(h, j), ptr[full])
-                pair = m[:, :_HASHES].astype(np.uint64).reshape(len(texts), 2 * COLLECTION, DEPTH)
+                    for j in range(_HASHES):
+                        low[j, full] = np.minimum.reduceat(_ranked(h, j), ptr[full])
+                pair = low.T.reshape(len(texts), 2 * COLLECTION, DEPTH)
                 keys = tb.mix((pair[:, :, 0] << np.uint64(32) | pair[:, :, 1]) + _A[: 2 * COLLECTION])
                 lists = [pa.FixedSizeListArray.from_arrays(pa.array(tb.signed(k).reshape(-1)), COLLECTION).cast(pa.list_(pa.int64())) for k in (np.ascontiguousarray(keys[:, :COLLECTION]), np.ascontiguousarray(keys[:, COLLECTION:]))]
+                ids = [batch.column(c).slice(texts.first, len(texts)) for c in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(texts.first, len(texts)), pa.array([len(x) for x in own], pa.int64()), pa.array([_class_of(x) for x in own], pa.binary()),
-                     pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH), len(texts), [None, pa.py_buffer(m.astype(np.uint8).tobytes())]).cast(pa.binary()), *lists],
-                    names=["doc_id", "n", "cls", "sketch", "u", "v"],
+                    [*ids, pa.array([len(x) for x in own], pa.int64()), pa.array([_class_of(x) for x in own], pa.binary()), *lists],
+                    names=["doc_id", "row", "n", "cls", "u", "v"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls binary, sketch binary, u array<long>, v array<long>")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, n long, cls binary, u array<long>, v array<long>")
 
 
-def _cells(classes: DataFrame) -> DataFrame:
-    """cell, place, cls, first, size: sets in the cells of the tables that two sets or more share, the cell's table, its
-    first set and how many there are.
+def _cells(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """cell, cls, n: the sets in the cells of the tables.
 
     A table is a key of one collection combined with a key of the other.  Keys that only one set has are dropped first,
-    so the combinations are made for the few sets that may meet.  Sets are in the same order in all cells.
+    so the combinations are made for the few sets that may meet.
     """
-    keys = classes.select("cls", F.posexplode(F.concat("u", "v")).alias("at", "key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keys = classes.select("cls", "n", F.posexplode(F.concat("u", "v")).alias("at", "key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1").select("key")
     one, two = F.col("at") < COLLECTION, F.struct("at", "key")
-    met = keys.join(shared, "key").groupBy("cls").agg(F.collect_list(F.when(one, two)).alias("u"), F.collect_list(F.when(~one, two)).alias("v"))
-    cells = met.select("cls", "v", F.explode("u").alias("one")).select("cls", "one", F.explode("v").alias("two"))
-    cells = materialise(cells.select("cls", F.xxhash64("one.key", "two.key").alias("cell"), (F.col("one.at") * COLLECTION + F.col("two.at") - COLLECTION).cast("int").alias("place")))
-    first = cells.groupBy("cell").agg(F.min("cls").alias("first"), F.count("*").alias("size")).where("size > 1")
-    return materialise(cells.join(first, "cell"))
+    met = keys.join(shared, "key").groupBy("cls", "n").agg(F.collect_list(F.when(one, two)).alias("u"), F.collect_list(F.when(~one, two)).alias("v"))
+    cells = met.select("cls", "n", "v", F.explode("u").alias("one")).select("cls", "n", "one", F.explode("v").alias("two"))
+    return scratch.keep(cells.select(F.xxhash64("one.at", "two.at", "one.key", "two.key").alias("cell"), "cls", "n"))
 
 
-def _agreement(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
-    """In how many minhashes the sketches (rows of bytes) of pairs of sets agree; 0 if that or their sizes rule a link out."""
-    same = (x == y).sum(axis=1)
-    return np.where((100 * np.minimum(nx, ny) >= LINK * np.maximum(nx, ny)) & (same >= AGREE), same, 0)
+def _members(cells: DataFrame) -> DataFrame:
+    """first, cls, n: the bucket of each set that is first in a cell of two or more, with all sets of its cells.
 
+    Cells that one set is first in hold much the same sets, so a set is in far fewer buckets than cells; and two sets of
+    a cell are together in the bucket of its first.
+    """
+    first = cells.groupBy("cell").agg(F.min("cls").alias("first"), F.count("*").alias("sets")).where("sets > 1")
+    return cells.join(first, "cell").select("first", "cls", "n").distinct()
 
-def _bytes(column: pa.Array, size: int) -> np.ndarray:
-    """A column of binaries of one size as rows of bytes."""
-    fixed = column.cast(pa.binary(size))
-    return np.frombuffer(fixed.buffers()[1], dtype=np.uint8).reshape(-1, size)[fixed.offset : fixed.offset + len(fixed)]
 
+def _full_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """cls, own: the shingle sets of the classes in rows (row, cls), from one document each."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(rows.select("row"), FILTER_BITS))
 
-def _heads(cells: DataFrame, classes: DataFrame) -> DataFrame:
-    """One pair a < b at most for each set: with the first set of all that are first in its cells, if they may link.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(in_bitmap(bits.value, batch.column(0).to_numpy())))
+            for texts in tb.slices(batch.column(1)):
+                h, ptr = shingles(tb.words(texts, _RULE))
+                own = [np.unique(h[ptr[i] : ptr[i + 1]]) for i in range(len(texts))]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(tb.signed(np.concatenate(own))))
+                yield pa.RecordBatch.from_arrays([pa.array([_class_of(x) for x in own], pa.binary()), lists], names=["cls", "own"])
 
-    A large group of near copies has one first set in most cells, so these pairs join most of it.
-    """
-    pairs = cells.where("first < cls").groupBy("cls").agg(F.min("first").alias("first"))
-    one = classes.select(F.col("cls").alias("first"), F.col("sketch").alias("x"), F.col("n").alias("na"))
-    two = classes.select("cls", F.col("sketch").alias("y"), F.col("n").alias("nb"))
-    met = pairs.join(one, "first").join(two, "cls").select(F.col("first").alias("a"), F.col("cls").alias("b"), "na", "nb", "x", "y")
+    made = docs.select("row", "text").mapInArrow(run, "cls binary, own array<long>")
+    return made.join(rows.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = 0 < _agreement(_bytes(b.column(4), SKETCH), _bytes(b.column(5), SKETCH), b.column(2).to_numpy(), b.column(3).to_numpy())
-            yield b.select(["a", "b", "na", "nb"]).filter(pa.array(ok))
 
-    return met.mapInArrow(run, "a binary, b binary, na long, nb long")
+def _blocks(size: str, shingles_: str) -> Column:
+    """How many blocks a bucket of so many sets and shingles is cut into."""
+    return F.ceil(F.greatest(F.col(size) / BLOCK, F.col(shingles_) / BLOCK_SHINGLES)).cast("int").alias("blocks")
 
 
-def _across(cells: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """All pairs a < b that meet in a cell, may link, and aren't in one group yet; same: in how many minhashes they agree.
+def _stars(members: DataFrame, full: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets and the smallest first set of their cells: one comparison for each set.
 
-    Every two sets of a cell are compared.  A cell of more than BLOCK sets is cut into blocks by a hash of the set, and a
-    row of a set goes to each pair of blocks that its own belongs to, so tasks share the comparisons and hold two blocks at
-    once.  Pairs inside a group could join nothing and are left out, as are cells of one group.  Of the cells that a pair
-    meets in, the one of the first keys they share counts, so each pair comes once.
+    A large group of near copies has one first set in most cells, so these join most of it.  The first set goes to each
+    block of its bucket.
     """
-    label = cells.join(groups, F.col("cls") == F.col("node"), "left").select("cell", "place", "cls", "size", F.coalesce("component", "cls").alias("grp"))
+    arms = members.where("first < cls").groupBy("cls", "n").agg(F.min("first").alias("first"))
+    blocks = arms.groupBy("first").agg(F.count("*").alias("sets"), F.sum("n").alias("total")).select("first", _blocks("sets", "total"))
+    arms = arms.join(blocks, "first").select("first", "cls", F.lit(1).alias("rank"), F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("part"))
+    hubs = blocks.select("first", F.col("first").alias("cls"), F.lit(0).alias("rank"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    rows = arms.union(hubs).join(full, "cls")
+    dealt = rows.select(F.xxhash64("first").alias("bucket"), F.col("part").alias("lo"), F.col("part").alias("hi"), "part", "rank", F.col("cls").alias("grp"), "own")
+    return _compared(dealt, lambda t: t.hub_pairs())
+
+
+def _across(members: DataFrame, groups: DataFrame, full: DataFrame) -> DataFrame:
+    """Links (a, b) between groups, from all pairs of sets that share a bucket and aren't in one group yet.
+
+    Buckets of one group are left out.  A large bucket is cut into blocks by a hash of the set, and a set goes to each
+    pair of blocks that its own belongs to, so tasks share the comparisons and hold two blocks at once.
+    """
+    label = members.join(groups, F.col("cls") == F.col("node"), "left").select("first", "cls", "n", F.coalesce("component", "cls").alias("grp"))
     key = F.xxhash64("grp")
-    mixed = label.groupBy("cell").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low < high").select("cell")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = label.join(mixed, "cell").withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cell", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "place", "cls", "grp")
-    rows = dealt.join(classes.select("cls", "n", "sketch", "u", "v"), "cls").select("cell", "lo", "hi", "part", "place", "cls", "grp", "n", "sketch", "u", "v")
-    rows = rows.repartition(partitions(rows.sparkSession), "cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi")
-
-    def compare(table: pa.Table) -> pa.RecordBatch:
-        """All pairs of the blocks in a table of whole blocks."""
-        cell, lo, hi, part, place, n = (table[c].to_numpy() for c in ("cell", "lo", "hi", "part", "place", "n"))
-        names, group, sketch = (_bytes(table[c].combine_chunks(), size) for c, size in (("cls", 16), ("grp", 16), ("sketch", SKETCH)))
-        keys = [np.ascontiguousarray(table[c].combine_chunks().flatten().to_numpy().reshape(-1, COLLECTION).T) for c in ("u", "v")]
-        tables = np.divmod(place, COLLECTION)
-        group = np.unique(np.ascontiguousarray(group).view("V16").ravel(), return_inverse=True)[1]
-        begins = np.concatenate([[True], _new(cell, lo, hi)])
-        rank = np.arange(len(cell)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+    mixed = label.groupBy("first").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("sets"), F.sum("n").alias("total")).where("low < high")
+    own = label.join(mixed.select("first", _blocks("sets", "total")), "first").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = own.select(F.xxhash64("first").alias("bucket"), F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "cls", "grp")
+    dealt = rows.join(full, "cls").select("bucket", "lo", "hi", "part", F.lit(0).alias("rank"), "grp", "own")
+    return _compared(dealt, lambda t: t.likely_pairs())
+
+
+class _Blocks:
+    """Rows of whole blocks as arrays: their sets, groups, and which rows share a pair of blocks."""
+
+    def __init__(self, table: pa.Table):
+        self.bucket, self.lo, self.hi, self.part = (table[c].to_numpy() for c in ("bucket", "lo", "hi", "part"))
+        self.names = table["grp"].to_pylist()
+        self.group = np.unique(np.frombuffer(b"".join(self.names), dtype="V16"), return_inverse=True)[1]
+        own = table["own"].combine_chunks()
+        self.ptr = own.offsets.to_numpy().astype(np.int64) - own.offsets[0].as_py()
+        self.values = own.flatten().to_numpy().view(np.uint64)
+        self.n = np.diff(self.ptr)
+        self.begins = np.concatenate([[True], _new(self.bucket, self.lo, self.hi)])
+        self.start = np.flatnonzero(self.begins)[np.cumsum(self.begins) - 1]
+
+    def hub_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each row with the first of its block, which has rank 0."""
+        y = np.flatnonzero(~self.begins)
+        x = self.start[y]
+        near = self._near_sizes(x, y)
+        return x[near], y[near]
+
+    def likely_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of rows of a pair of blocks, in different groups, whose sizes and sketches allow a link; likelier first."""
+        sketch = self._sketches()
+        rank = np.arange(len(self.start)) - self.start
         order = np.argsort(-rank, kind="stable")
         over = np.searchsorted(-rank[order], -np.arange(rank.max() + 2), side="right")
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = [(order[:0], order[:0], np.zeros(0))]
         for i in range(1, int(rank.max()) + 1):
             for y in np.array_split(order[: over[i]], over[i] // 20_000 + 1):
-                y = y[group[y] != group[y - i]]
                 x = y - i
-                fits = (100 * np.minimum(n[x], n[y]) >= LINK * np.maximum(n[x], n[y])) & ((lo[x] == hi[x]) | (part[x] != part[y]))
+                fits = (self.group[x] != self.group[y]) & ((self.lo[y] == self.hi[y]) | (self.part[x] != self.part[y])) & self._near_sizes(x, y)
                 x, y = x[fits], y[fits]
-                for k in range(COLLECTION - 1):  # pairs that share an earlier key come from its cell
-                    for own_keys, at in zip(keys, tables, strict=True):
-                        if len(x):
-                            first = (at[x] <= k) | (own_keys[k][x] != own_keys[k][y])
-                            x, y = x[first], y[first]
                 if len(x):
-                    same = _agreement(sketch[x], sketch[y], n[x], n[y])
-                    if same.any():
-                        found.append((x[same > 0], y[same > 0], same[same > 0]))
-        x, y, same = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in range(3))
-        return pa.RecordBatch.from_arrays([*(pa.array([r.tobytes() for r in names[e]], pa.binary()) for e in (x, y)), pa.array(n[x]), pa.array(n[y]), pa.array(same, pa.int64())], names=["x", "y", "nx", "ny", "same"])
+                    a, b = sketch[x], sketch[y]
+                    filled = ((a | b) > 0).sum(axis=1)
+                    same = ((a == b) & (a > 0)).sum(axis=1)
+                    ok = same >= _AGREE[filled]
+                    if ok.any():
+                        found.append((x[ok], y[ok], same[ok] / filled[ok]))
+        x, y, like = (np.concatenate(f) for f in zip(*found, strict=True))
+        best = np.argsort(-like, kind="stable")
+        return x[best], y[best]
+
+    def _near_sizes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return 100 * np.minimum(self.n[x], self.n[y]) >= LINK * np.maximum(self.n[x], self.n[y])
+
+    def _sketches(self) -> np.ndarray:
+        """A byte for each bin of hashes: of the least one in it, 0 if there is none."""
+        row = np.repeat(np.arange(len(self.n)), self.n)
+        slot = row * BINS + (self.values >> np.uint64(57)).astype(np.int64)
+        first = np.concatenate([[True], slot[1:] != slot[:-1]])  # sets are sorted
+        out = np.zeros(len(self.n) * BINS, dtype=np.uint8)
+        out[slot[first]] = (self.values[first] % np.uint64(255)).astype(np.uint8) + 1
+        return out.reshape(-1, BINS)
+
+    def links(self, x: np.ndarray, y: np.ndarray) -> list[tuple[bytes, bytes]]:
+        """Links between groups among the pairs, confirmed on the full sets; pairs that earlier links joined are left out."""
+        if not len(x):
+            return []
+        root, out = np.arange(self.group.max() + 1), []
+        token = np.unique(self.values, return_inverse=True)[1]
+        mark = np.zeros(token.max() + 1, dtype=bool)
+        for begin in range(0, len(x), ROUND):
+            a, b = x[begin : begin + ROUND], y[begin : begin + ROUND]
+            apart = root[self.group[a]] != root[self.group[b]]
+            a, b = a[apart], b[apart]
+            by = np.argsort(a, kind="stable")
+            a, b = a[by], b[by]
+            # pairs of one set follow each other; GATHERED shingles at most (one set at least) are looked up at once
+            cut = np.cumsum(self.n[b]) // GATHERED
+            ends = np.concatenate([[0], np.flatnonzero(_new(a, cut)) + 1, [len(a)]]) if len(a) else []
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                i, others = a[lo], b[lo:hi]
+                mine = token[self.ptr[i] : self.ptr[i + 1]]
+                mark[mine] = True
+                told = mark[np.concatenate([token[self.ptr[j] : self.ptr[j + 1]] for j in others])]
+                mark[mine] = False
+                common = np.add.reduceat(told.astype(np.int64), np.cumsum(self.n[others]) - self.n[others])
+                for j in others[100 * common >= LINK * (len(mine) + self.n[others] - common)]:
+                    g, h = root[self.group[i]], root[self.group[j]]
+                    if g != h:
+                        root[root == h] = g
+                        out.append((self.names[i], self.names[j]))
+        return out
+
+
+def _compared(dealt: DataFrame, pairs: Callable[[_Blocks], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Links (a, b) of the pairs that meet in rows dealt by bucket, lo and hi; a task holds a few blocks with their sets."""
+    by = ("bucket", "lo", "hi")
+
+    def compare(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Blocks(pa.Table.from_batches(batches).combine_chunks())
+        found = blocks.links(*pairs(blocks))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
+        held = 0
         for batch in batches:
-            ends = np.flatnonzero(_new(*(batch.column(c).to_numpy() for c in ("cell", "lo", "hi")))) + 1
-            before = rest[-1].slice(len(rest[-1]) - 1) if rest else None
-            if before is not None and any(before.column(c)[0] != batch.column(c)[0] for c in ("cell", "lo", "hi")):
-                ends = np.concatenate([[0], ends])
-            if len(ends) and sum(map(len, rest)) + ends[-1] >= ROWS:
-                yield compare(pa.Table.from_batches([*rest, batch.slice(0, ends[-1])]).combine_chunks())
-                rest = [batch.slice(ends[-1])]
-            else:
-                rest.append(batch)
-        if sum(map(len, rest)):
-            yield compare(pa.Table.from_batches(rest).combine_chunks())
-
-    found = rows.mapInArrow(run, "x binary, y binary, nx long, ny long, same long")
-    up = F.col("x") < F.col("y")
-    pick = lambda yes, no, name: F.when(up, F.col(yes)).otherwise(F.col(no)).alias(name)
-    return found.select(pick("x", "y", "a"), pick("y", "x", "b"), pick("nx", "ny", "na"), pick("ny", "nx", "nb"), "same")
+            if not len(batch):
+                continue
+            begins = np.flatnonzero(_new(*(batch.column(c).to_numpy() for c in by))) + 1
+            if rest and any(rest[-1].column(c)[len(rest[-1]) - 1] != batch.column(c)[0] for c in by):
+                begins = np.concatenate([[0], begins])
+            sizes = np.diff(batch.column("own").offsets.to_numpy())
+            done = 0
+            for begin in begins:
+                held += int(sizes[done:begin].sum()) + ROW * (begin - done)
+                if begin > done:
+                    rest.append(batch.slice(done, begin - done))
+                    done = begin
+                if held >= GATHERED:
+                    yield from compare(rest)
+                    rest, held = [], 0
+            rest.append(batch.slice(done))
+            held += int(sizes[done:].sum()) + ROW * (len(batch) - done)
+        if rest:
+            yield from compare(rest)
+
+    return dealt.repartition(partitions(dealt.sparkSession), *by).sortWithinPartitions(*by, "rank").mapInArrow(run, "a binary, b binary")
 
 
 def _new(*keys: np.ndarray) -> np.ndarray:
@@ -210,104 +294,6 @@ def _new(*keys: np.ndarray) -> np.ndarray:
     return np.any([k[1:] != k[:-1] for k in keys], axis=0)
 
 
-def _likeliest(pairs: DataFrame) -> DataFrame:
-    """One pair for each set: that with the partner whose sketch agrees most."""
-    row = F.struct("same", "a", "b", "na", "nb").alias("row")
-    ends = pairs.select(F.col("a").alias("cls"), row).union(pairs.select("b", row))
-    return ends.groupBy("cls").agg(F.max("row").alias("row")).select("row.a", "row.b", "row.na", "row.nb").distinct()
-
-
-def _unresolved(pairs: DataFrame, tried: DataFrame, groups: DataFrame) -> DataFrame:
-    """Those of the pairs that weren't confirmed or refused yet and whose sets are in different groups."""
-    left = pairs.join(tried, ["a", "b"], "left_anti")
-    for end, name in (("a", "ga"), ("b", "gb")):
-        left = left.join(groups.select(F.col("node").alias(end), F.col("component").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
-    return left.where("ga <> gb").select("a", "b", "na", "nb")
-
-
-def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b, na, nb) whose full sets are similar enough."""
-    likely = materialise(pairs)
-    total = likely.count()
-    if not total:
-        return likely.select("a", "b")
-    needed = likely.select(F.col("a").alias("cls")).union(likely.select("b")).distinct()
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(needed))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bits.value
-        for batch in batches:
-            seen: set[bytes] = set()
-            for texts in tb.slices(batch.column(0)):
-                names, found = [], []
-                for own in _sets(texts):
-                    name = _class_of(own)
-                    slot = int.from_bytes(name[:4], "big") % FILTER_BITS
-                    if name and name not in seen and table[slot >> 3] >> (slot & 7) & 1:
-                        seen.add(name)
-                        names.append(name)
-                        found.append(tb.signed(own))
-                if names:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["cls", "own"])
-
-    full = docs.select("text").mapInArrow(sets, "cls binary, own array<long>").join(needed, "cls", "left_semi").dropDuplicates(["cls"])
-    full = materialise(full)
-    # a task gets the pairs between two shares of the sets, and each set that has one of them once
-    shares = F.lit(max(4, math.ceil(math.sqrt(total / PAIRS))))
-    block = F.pmod(F.xxhash64("a"), shares) * shares + F.pmod(F.xxhash64("b"), shares)
-    dealt = materialise(likely.withColumn("block", block))
-    ends = dealt.select("block", F.col("a").alias("cls")).union(dealt.select("block", "b")).distinct()
-    given = ends.join(full, "cls").select("block", F.lit(0).alias("kind"), F.col("cls").alias("a"), F.lit(None).cast("binary").alias("b"), "own")
-    asked = dealt.select("block", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<long>").alias("own"))
-    return given.union(asked).repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block", "kind", "a").mapInArrow(_confirm, "a binary, b binary")
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sets are similar enough, of blocks that bring their sets first and then their pairs, in order of a."""
-    own: dict[bytes, np.ndarray] = {}
-    now = None
-    for batch in batches:
-        block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        starts = np.concatenate([[0], np.flatnonzero(_new(block, kind)) + 1, [len(block)]]) if len(block) else []
-        out: list[tuple[bytes, bytes]] = []
-        for i, j in zip(starts[:-1], starts[1:], strict=True):
-            if block[i] != now:
-                now, own = block[i], {}
-            names = batch.column(2).slice(i, j - i).to_pylist()
-            if kind[i] == 0:
-                lists = batch.column(4).slice(i, j - i)
-                ptr = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                values = lists.flatten().to_numpy().view(np.uint64).copy()
-                own |= {x: values[p:q] for x, p, q in zip(names, ptr[:-1], ptr[1:], strict=True)}
-                continue
-            partners: dict[bytes, list[bytes]] = {}
-            for x, y in zip(names, batch.column(3).slice(i, j - i).to_pylist(), strict=True):
-                partners.setdefault(x, []).append(y)
-            for x, others in partners.items():
-                mine, theirs = own[x], [own[y] for y in others]
-                sizes = np.array([len(t) for t in theirs])
-                told = np.concatenate(theirs)
-                hit = mine[np.minimum(np.searchsorted(mine, told), len(mine) - 1)] == told
-                common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
-                out += [(x, others[k]) for k in np.flatnonzero(100 * common >= LINK * (len(mine) + sizes - common))]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], names=["a", "b"])
-
-
-def _filter_of(needed: DataFrame) -> np.ndarray:
-    """Bitmap of the sets to confirm, of fixed size; the driver gets one row for each of its bytes at most."""
-    rows = (
-        needed.selectExpr(f"cast(conv(hex(substring(cls, 1, 4)), 16, 10) as long) % {FILTER_BITS} AS slot")
-        .selectExpr("cast(shiftright(slot, 3) as int) AS byte", "shiftleft(1, cast(slot % 8 as int)) AS bit")
-        .groupBy("byte")
-        .agg(F.bit_or("bit").alias("bits"))
-        .toArrow()
-    )
-    table = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    table[rows["byte"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint8)
-    return table
-
-
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Groups of documents that chains of near-duplicate links join.
 
@@ -318,31 +304,35 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Documents of equal sets are one class from the start, so copies cost one row each and no pairs.  Classes meet in
     tables whose keys combine a key of either of two small collections of minhashes: 144 tables for 48 minhashes, which
-    miss a pair at the threshold with a chance of 1e-4 and likelier pairs with less.  Pairs whose sketches and set
-    sizes allow a link are confirmed on the full sets, which another pass makes for those texts alone.  First each class
-    is paired with one other; then every two classes of a cell are compared that are in different groups, of which the
-    likeliest pair of each class is confirmed first and then all pairs that are still between two groups.
+    miss a pair at the threshold with a chance of 1e-4 and likelier pairs with less.  Cells are gathered by their first
+    set into buckets.  The full sets of the classes that met, which a second pass makes from one document each, are dealt
+    by bucket: first each class is held against one first set, then every two of a bucket that are in different groups
+    are compared, by sketches and then on the full sets.  Pairs live and end inside the tasks, which return only links
+    that join groups, so what is written grows with the sets and not with the pairs.
 
     Null and empty texts, and texts without words, have the empty set and are their own group.  Rows of one doc_id are
     judged by their own texts; a null doc_id never names a group that has an id.  Rows without one in a group of their
-    own have a null component and are kept.  An empty table gives an empty one.
+    own have a null component and are kept.  Other columns, whatever their names, are not looked at.  An empty table
+    gives an empty one.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    seen = materialise(_signatures(source))
-    classes = seen.where("n > 0").select("cls", "n", "sketch", "u", "v").dropDuplicates(["cls"])
-    classes = materialise(classes)
-    cells = _cells(classes)
-    links = materialise(_links(source, _heads(cells, classes)))
-    groups = materialise(connected_components(links))
-    likely = materialise(_across(cells, groups, classes))
-    tried = materialise(_likeliest(likely))
-    for pairs in (lambda: tried, lambda: _unresolved(likely, tried, groups)):
-        found = materialise(_links(source, pairs()))
-        if not found.isEmpty():
-            links = links.union(found)
-            groups = materialise(connected_components(links))
-    rows = seen.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(groups, F.col("cls") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("grp"))
-    rows = materialise(rows)
-    least = rows.where("n_shingles > 0").groupBy("grp").agg(F.min("doc_id").alias("least"))
-    out = rows.join(least, "grp", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    source = source.withColumn("row", F.xxhash64("doc_id", "text"))
+    with Scratch(docs.sparkSession) as scratch:
+        signed = scratch.keep(_signatures(source))
+        classes = scratch.keep(signed.where("n > 0").select("cls", "n", "row", "u", "v").dropDuplicates(["cls"]))
+        members = scratch.keep(_members(_cells(classes.select("cls", "n", "u", "v"), scratch)))
+        needed = scratch.keep(classes.select("cls", "row").join(members.select("cls").distinct(), "cls", "left_semi"))
+        full = scratch.keep(_full_sets(source, needed))
+        groups = connected_components(_stars(members, full), scratch)
+        more = connected_components(_across(members, groups, full), scratch)
+        # a group's final name: what its own group of the second links is called
+        named = groups.withColumnRenamed("component", "old").join(more.withColumnRenamed("node", "old"), "old", "left").select("node", F.coalesce("component", "old").alias("component"))
+        named = scratch.keep(named.union(more.join(groups, "node", "left_anti").select("node", "component")))
+        seen = materialise(signed.select("doc_id", F.col("n").alias("n_shingles"), "cls"))
+        sizes = scratch.keep(seen.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("own"), F.count("*").alias("rows")))
+        sizes = scratch.keep(sizes.join(named, F.col("cls") == F.col("node"), "left").select("cls", "own", "rows", F.coalesce("component", "cls").alias("grp")))
+        least = scratch.keep(sizes.groupBy("grp").agg(F.min("own").alias("least"), F.sum("rows").alias("rows"), F.count("*").alias("classes")).where("rows > 1"))
+        least = materialise(join_sized(sizes.drop("own"), least.drop("rows"), "grp", "classes").where("least is not null").select("cls", "rows", "least"))
+    out = join_sized(seen.where("n_shingles > 0"), least, "cls", "rows").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    out = out.union(seen.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -59,40 +59,16 @@ def groups_of(spark, texts):
     return {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
 
 
-def untried(spark, monkeypatch, texts, families):
-    """How many pairs that meet, may link and end in different groups were never confirmed on full sets; and the groups."""
-    asked = set()
-    links = near_dedup._links
-
-    def listening(docs, pairs):
-        pairs = near_dedup.materialise(pairs)
-        asked.update((bytes(r.a), bytes(r.b)) for r in pairs.collect())
-        return links(docs, pairs)
-
-    monkeypatch.setattr(near_dedup, "_links", listening)
-    found = groups_of(spark, texts)
-    rows = near_dedup._signatures(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).orderBy("doc_id").collect()
-    left = 0
-    for i, j in itertools.chain.from_iterable(itertools.combinations(members, 2) for members in families):
-        x, y = rows[i], rows[j]
-        same = int((np.frombuffer(x.sketch, np.uint8) == np.frombuffer(y.sketch, np.uint8)).sum())
-        meet = all(any(p == q for p, q in zip(x[c], y[c], strict=True)) for c in ("u", "v"))
-        if meet and same >= near_dedup.AGREE and found[i] != found[j]:
-            left += tuple(sorted((bytes(x.cls), bytes(y.cls)))) not in asked
-    return left, found
-
-
-def test_a_likelier_partner_hides_no_pair(spark, monkeypatch):
+def test_a_likelier_partner_hides_no_pair(spark):
     rng = random.Random(11)
     texts, families = laid_out([family(rng, 12, 1) for _ in range(20)])
-    left, found = untried(spark, monkeypatch, texts, families)
-    assert left == 0
-    assert found == exact_groups(texts, families)
+    assert groups_of(spark, texts) == exact_groups(texts, families)
 
 
 @pytest.mark.parametrize("block", [60])
 def test_large_cells_are_compared_whole(spark, monkeypatch, block):
-    monkeypatch.setattr(near_dedup, "BLOCK", block, raising=False)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "GATHERED", 5000)
     rng = random.Random(12)
     texts, families = laid_out([family(rng, 400, 40)])
     wanted = exact_groups(texts, families)
@@ -100,9 +76,39 @@ def test_large_cells_are_compared_whole(spark, monkeypatch, block):
     assert groups_of(spark, texts) == wanted
 
 
-def test_all_cells_are_looked_at_until_no_likely_pair_is_left(spark, monkeypatch):
+def test_all_pairs_of_chained_families_are_tried(spark):
     rng = random.Random(13)
     texts, families = laid_out([*(star(rng) for _ in range(30)), *(family(rng, 20, 2) for _ in range(10))])
-    left, found = untried(spark, monkeypatch, texts, families)
-    assert left == 0
-    assert found == exact_groups(texts, families)
+    assert groups_of(spark, texts) == exact_groups(texts, families)
+
+
+def test_a_template_of_1400_texts(spark):
+    """Texts of one template with about 60 of 400 words changed, in pairs that share most changes: each pair's link is found among a million others."""
+    rng = random.Random(14)
+    word = lambda: f"w{rng.getrandbits(48):x}"
+    template = [word() for _ in range(400)]
+    texts = []
+    for _ in range(700):
+        at = rng.randrange(0, 340)
+        changed = template[:at] + [word() for _ in range(60)] + template[at + 60 :]
+        texts += [" ".join(changed), " ".join(changed[:-30] + [word() for _ in range(30)] if at < 300 else [word() for _ in range(30)] + changed[30:])]
+    assert groups_of(spark, texts) == exact_by_numbers(texts)
+
+
+def exact_by_numbers(texts):
+    """exact_groups of one large family, with 0/1 rows of shingles in place of sets."""
+    names: dict[tuple, int] = {}
+    sets = [[names.setdefault(tuple(w[p : p + 5]), len(names)) for p in range(len(w) - 4)] for w in (t.split() for t in texts)]
+    held = np.bincount(np.concatenate(sets), minlength=len(names))
+    often = {x: i for i, x in enumerate(np.flatnonzero(held > 1))}
+    m = np.zeros((len(texts), len(often)), dtype=np.float32)
+    for i, own in enumerate(sets):
+        m[i, [often[x] for x in own if x in often]] = 1
+    common, n = m @ m.T, np.array([len(set(x)) for x in sets])
+    near = 100 * common >= 75 * (n[:, None] + n - common)
+    root = np.arange(len(texts))
+    while True:
+        low = np.array([root[row].min() for row in near])
+        if (low == root).all():
+            return {i: int(x) for i, x in enumerate(root)}
+        root = low
