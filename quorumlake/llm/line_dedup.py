@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorumlake.llm.shared import materialise, remove, shared_folder
+from quorumlake.llm.shared import Scratch, materialise, partitions
 
 BLANK = " \t\n\v\f\r"
 #: Keys of fewer code points are never dropped.
 LEAST = 10
 #: Batches that a table is fed in, by ascending doc_id.
-BATCHES = 4
+BATCHES = 6
 #: Runs of a level that are merged into one of the next.
-FANOUT = 4
+FANOUT = 3
 #: Stands for a null doc_id, which comes after all others.
 LAST_ID = (1 << 63) - 1
 
@@ -36,46 +38,68 @@ def line_key(line: str) -> bytes | None:
 class LineRuns:
     """Line hashes seen so far with the smallest document of each, as sorted runs in levels.
 
-    A run is a Parquet folder whose files are sorted by hash.  Each new batch anti-joins the runs and adds what it has
-    of its own as a run of level 0; FANOUT runs of a level are merged into one of the next, so a hash is rewritten a
-    logarithmic number of times and a lookup reads at most FANOUT - 1 runs of each level.  No hash is in two runs.
+    A run is a table bucketed and sorted by hash, in as many buckets as a shuffle has partitions, with one file each.  So
+    a new batch, dealt by hash once, meets all runs where they lie: the anti-join moves no row of a run.  What the batch
+    has of its own becomes a run of level 0; FANOUT runs of a level are merged, bucket by bucket, into one of the next,
+    so a hash is rewritten a logarithmic number of times and a lookup reads at most FANOUT - 1 runs of each level.  No
+    hash is in two runs.  Use in a with: its end drops the runs.
     """
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
+        self.spark, self.fanout, self.buckets = spark, fanout, partitions(spark)
         self.levels: list[list[str]] = [[]]
+        self.scratch = Scratch(spark)
+
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._drop([name for level in self.levels for name in level])
+        self.scratch.__exit__()
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def _read(self, names: list[str]) -> DataFrame:
+        return reduce(DataFrame.union, (self.spark.table(name).select("key", "owner") for name in names))
 
     def seen(self) -> DataFrame:
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
+        names = [name for level in self.levels for name in level]
+        return self._read(names) if names else self.spark.createDataFrame([], RUN)
 
     def _write(self, rows: DataFrame) -> str:
-        path = shared_folder(self.spark)
-        rows.select("key", "owner").sortWithinPartitions("key").write.parquet(path)
-        return path
+        name = f"line_run_{uuid.uuid4().hex}"
+        dealt = rows.select("key", "owner").repartition(self.buckets, "key")
+        dealt.write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.scratch.root}/{name}").saveAsTable(name)
+        return name
 
     def add(self, rows: DataFrame) -> None:
         self.levels[0].append(self._write(rows))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old = self.levels[level]
-            merged = self.spark.read.schema(RUN).parquet(*old).repartition("key")
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self._write(merged))
+            self.levels[level + 1].append(self._write(self._read(old)))
             self.levels[level] = []
-            for path in old:
-                remove(self.spark, path)
+            self._drop(old)
             level += 1
 
-    def losers(self, keys: DataFrame) -> DataFrame:
+    def losers(self, keys: DataFrame, more: bool = True) -> DataFrame:
         """Takes in a batch (columns key, doc) and returns its (key, doc) whose line has an earlier owner.
 
         Batches must come in order of doc for the owner to be the smallest of all; in any order, first come first kept.
+        After the last batch nothing needs to be added, which more=False says.
         """
         own = keys.groupBy("key").agg(F.min("doc").alias("own"), F.count("*").alias("n"))
-        met = materialise(own.join(self.seen(), "key", "left"))
-        self.add(met.where("owner is null").select("key", F.col("own").alias("owner")))
+        met, owners = own, [F.lit(None).cast("long")]
+        for i, name in enumerate(name for level in self.levels for name in level):
+            met = met.join(self._read([name]).withColumnRenamed("owner", f"owner_{i}"), "key", "left")
+            owners.append(F.col(f"owner_{i}"))
+        met = materialise(met.select("key", "own", "n", F.coalesce(*owners).alias("owner")))
+        if more:
+            self.add(met.where("owner is null").select("key", F.col("own").alias("owner")))
         twice = met.where("owner is not null or n > 1").select("key", F.coalesce("owner", "own").alias("owner"))
         return keys.join(twice, "key").where("doc <> owner").select("key", "doc")
 
@@ -119,10 +143,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", batches: int = BATCHES) ->
     for b in sorted(set(bounds)):
         batch = batch + (F.col("doc") > F.lit(b)).cast("int")
     keys = materialise(_keys(source).withColumn("batch", batch))
-    runs, lost = LineRuns(spark), None
-    for b in range(len(set(bounds)) + 1):
-        found = runs.losers(keys.where(F.col("batch") == b).select("key", "doc"))
-        lost = found if lost is None else lost.union(found)
+    lost = None
+    with LineRuns(spark) as runs:
+        for b in range(len(set(bounds)) + 1):
+            found = runs.losers(keys.where(F.col("batch") == b).select("key", "doc"), more=b < len(set(bounds)))
+            lost = found if lost is None else lost.union(found)
     gone = lost.groupBy("doc").agg(F.collect_set("key").alias("__gone")).withColumnRenamed("doc", "__doc")
     keep = [c for c in docs.columns if c not in new]
     at_text = keep.index(text)
