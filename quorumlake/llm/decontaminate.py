@@ -42,8 +42,9 @@ def winnow(words: tb.Words, gram: int, span: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _benchmark_prints(items: DataFrame) -> DataFrame:
-    """One row for each fingerprint of each distinct benchmark text: cls, len, fp, at, words."""
-    schema = "cls long, len int, fp long, at int, words array<long>"
+    """One row for each fingerprint of each distinct benchmark text: cls, fp, size (SPAN, or the words of a shorter text),
+    at, and the words around the gram (left of them before it) that a window with it can hold."""
+    schema = "cls long, fp long, size int, at int, left int, words array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,15 +56,22 @@ def _benchmark_prints(items: DataFrame) -> DataFrame:
                     if not len(own):
                         continue
                     one = tb.Words(own, np.array([0, len(own)]), own, own)
-                    cls, as_long = tb.digest64(own.tobytes()), tb.signed(own).tolist()
-                    fp, at = winnow(one, GRAM, SPAN) if len(own) >= SPAN else tb.grams(own, one.ptr, len(own))
-                    rows += [(cls, len(own), f, a, as_long) for f, a in zip(tb.signed(fp).tolist(), at.tolist(), strict=True)]
+                    cls, size = tb.digest64(own.tobytes()), min(SPAN, len(own))
+                    fp, at = winnow(one, GRAM, SPAN) if size == SPAN else tb.grams(own, one.ptr, size)
+                    for f, a in zip(tb.signed(fp).tolist(), at.tolist(), strict=True):
+                        lo, hi = _around(a, 0, len(own), size)
+                        rows.append((cls, f, size, a, a - lo, tb.signed(own[lo:hi])))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)], names=["cls", "len", "fp", "at", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)], names=["cls", "fp", "size", "at", "left", "words"])
 
     return items.mapInArrow(run, schema)
 
 
+def _around(at: int, first: int, last: int, size: int) -> tuple[int, int]:
+    """Where the words begin and end that a window with the gram at that word can hold, inside a text's words."""
+    return (max(first, at - SPAN + GRAM), min(last, at + SPAN)) if size == SPAN else (at, at + size)
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """What of each document also stands in a benchmark.
 
@@ -83,7 +91,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text") ->
     spark = docs.sparkSession
     prints = materialise(_benchmark_prints(items.select(F.col("text").cast("string"))).dropDuplicates(["cls", "fp", "at"]))
     bits = spark.sparkContext.broadcast(bitmap_of(prints.select("fp"), FILTER_BITS))
-    short = sorted(r[0] for r in prints.where(F.col("len") < SPAN).select("len").distinct().collect())  # SPAN - 1 numbers at most
+    short = sorted(r[0] for r in prints.where(F.col("size") < SPAN).select("size").distinct().collect())  # SPAN - 1 numbers at most
     member = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string"))
 
     hit = pa.struct([("fp", pa.int64()), ("size", pa.int32()), ("at", pa.int32()), ("left", pa.int32()), ("words", pa.list_(pa.int64()))])
@@ -102,7 +110,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text") ->
                     ok = in_bitmap(table, tb.signed(fp)) if len(fp) else np.zeros(0, dtype=bool)
                     for f, a in zip(tb.signed(fp[ok]).tolist(), at[ok].tolist(), strict=True):
                         i = owner[a]
-                        lo, hi = (max(w.ptr[i], a - SPAN + GRAM), min(w.ptr[i + 1], a + SPAN)) if size == SPAN else (a, a + size)
+                        lo, hi = _around(a, w.ptr[i], w.ptr[i + 1], size)
                         found[i].append({"fp": f, "size": size, "at": a - w.ptr[i], "left": a - lo, "words": tb.signed(w.hash[lo:hi])})
                 key = pa.array([tb.digest64(texts.bytes_of(i)) for i in range(len(texts))], pa.int64())
                 yield pa.RecordBatch.from_arrays([ids.slice(texts.first, len(texts)), key, pa.array(counts, pa.int64()), pa.array(found, pa.list_(hit))], names=["doc_id", "doc", "n_words", "hits"])
@@ -110,7 +118,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text") ->
     seen = materialise(docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(probe, schema))
     hits = seen.where(F.size("hits") > 0).select("doc_id", "doc", F.explode("hits").alias("h")).select("doc_id", "doc", "h.*")
     # a popular passage gives one fingerprint to many documents: Spark splits that side of the join
-    pairs = hits.join(prints.select("cls", "len", "fp", F.col("at").alias("there"), F.col("words").alias("item")), "fp").where(F.least("len", F.lit(SPAN)) == F.col("size"))
+    pairs = hits.join(prints.select("cls", "size", "fp", F.col("left").alias("there"), F.col("words").alias("item")), ["fp", "size"])
     spans = "doc_id long, doc long, cls long, start int, stop int"
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
