@@ -33,48 +33,48 @@ def _bits(h: np.ndarray, size: int) -> list[np.ndarray]:
 
 
 def _blocks(docs: DataFrame, size: int) -> DataFrame:
-    """Hashes of the non-overlapping reference blocks of all documents."""
+    """segment, h, again: the distinct hashes of the non-overlapping reference blocks of all documents, and whether more
+    than one block has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in tb.slices(batch.column(0)):
                 w = tb.words(texts, _RULE)
                 h, at = tb.grams(w.hash, w.ptr, size)
-                own = h[(at - w.ptr[:-1][w.text_of()[at]]) % size == 0]
-                yield pa.RecordBatch.from_arrays([pa.array((own & np.uint64(SEGMENTS - 1)).astype(np.int32)), pa.array(tb.signed(own))], names=["segment", "h"])
+                own, n = np.unique(h[(at - w.ptr[:-1][w.text_of()[at]]) % size == 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(tb.signed(own)), pa.array(n > 1)], names=["h", "again"])
 
-    return docs.select("text").mapInArrow(run, "segment int, h long")
+    once = docs.select("text").mapInArrow(run, "h long, again boolean")
+    # a block that a third of all documents hold is one row a task before it is shuffled
+    counted = once.groupBy("h").agg((F.max("again") | (F.count("*") > 1)).alias("again"))
+    return counted.select(F.col("h").bitwiseAND(SEGMENTS - 1).cast("int").alias("segment"), "h", "again")
 
 
 def _filters(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Bitmaps of all blocks and of the repeated ones; their size is fixed, so the driver gets as much at any scale."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, once, twice, before = None, None, None, None
+        now, once, twice = None, None, None
 
         def made() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(once).tobytes()], pa.binary()), pa.array([np.packbits(twice).tobytes()], pa.binary())], names=["segment", "once", "twice"])
 
         for batch in batches:
-            segments, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            segments, hashes, again = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)
             for s in np.unique(segments):
-                h = hashes[segments == s]
+                own = segments == s
                 if s != now:
                     if now is not None:
                         yield made()
-                    now, once, twice, before = int(s), np.zeros(SEGMENT_BITS, dtype=np.uint8), np.zeros(TWICE_BITS, dtype=np.uint8), None
-                again = h[1:][h[1:] == h[:-1]]
-                if before is not None and h[0] == before:
-                    again = np.append(again, h[0])
-                before = h[-1]
-                for b in _bits(h, SEGMENT_BITS):
+                    now, once, twice = int(s), np.zeros(SEGMENT_BITS, dtype=np.uint8), np.zeros(TWICE_BITS, dtype=np.uint8)
+                for b in _bits(hashes[own], SEGMENT_BITS):
                     once[b] = 1
-                for b in _bits(again, TWICE_BITS):
+                for b in _bits(hashes[own & again], TWICE_BITS):
                     twice[b] = 1
         if now is not None:
             yield made()
 
-    rows = blocks.repartition("segment").sortWithinPartitions("segment", "h").mapInArrow(fill, "segment int, once binary, twice binary").toArrow()
+    rows = blocks.repartition("segment").sortWithinPartitions("segment").mapInArrow(fill, "segment int, once binary, twice binary").toArrow()
     once, twice = np.zeros((SEGMENTS, SEGMENT_BITS // 8), dtype=np.uint8), np.zeros((SEGMENTS, TWICE_BITS // 8), dtype=np.uint8)
     for s, a, b in zip(rows["segment"].to_pylist(), rows["once"], rows["twice"], strict=True):
         once[s], twice[s] = np.frombuffer(a.as_buffer(), dtype=np.uint8), np.frombuffer(b.as_buffer(), dtype=np.uint8)
@@ -216,7 +216,9 @@ def dedup_substrings(docs: DataFrame, text: str = "text", window: int = WINDOW)
     filters = spark.sparkContext.broadcast(_filters(_blocks(source, size)))
     places = _places(source, filters, window, size)
     runs = places.repartition("part").sortWithinPartitions("part", "more").mapInArrow(_repeated, "doc long, run long")
-    runs = runs.repartition("doc").groupBy("doc").agg(F.collect_list("run").alias("runs")).withColumnRenamed("doc", "__doc")
+    # rows of one id and text have the same runs, which are then gathered once
+    gather = F.collect_list if n == ids == different else F.collect_set
+    runs = (runs.repartition("doc") if gather is F.collect_list else runs).groupBy("doc").agg(gather("run").alias("runs")).withColumnRenamed("doc", "__doc")
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), key.alias("__key")).join(runs, F.col("__key") == F.col("__doc"), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
