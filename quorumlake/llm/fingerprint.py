@@ -16,8 +16,13 @@ from quorumlake.llm.shared import partitions
 #: Code points of a gram, and grams of a window: texts sharing GRAM + WINDOW - 1 code points share a fingerprint.
 GRAM = 16
 WINDOW = 48
-#: Code points that are hashed at once; only their hashes are held, whatever a text's length is.
+#: A short text's window is a WINDOWS-th of its grams and LEAST_WINDOW at least, so that it keeps a dozen hashes or two; what
+#: a wider window keeps a narrower one keeps too, so texts of any lengths can be compared.
+WINDOWS, LEAST_WINDOW = 8, 8
+#: Code points of results that are handed over at once.
 BLOCK = 1 << 20
+#: Ranges of documents for each shuffle partition.
+RANGES = 4
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -25,15 +30,16 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> np.ndarray:
     """Kept hashes and their places, an array of (hash, place) rows in order of place.
 
-    Of every ``window`` consecutive grams the smallest hash is kept, the rightmost of equals.  A text with fewer grams
-    is one window, a shorter one than a gram is one gram of its own length, an empty one has no fingerprint.
+    Of every ``window`` consecutive grams the smallest hash is kept, the rightmost of equals; a text of few grams has a
+    window of its own, see WINDOWS.  A text with fewer grams than that is one window, a shorter one than a gram is one
+    gram of its own length, an empty one has no fingerprint.  Some ten arrays of 8 bytes a code point are held.
     """
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     if not len(code):
         return np.zeros((0, 2), dtype=np.uint32)
     gram = min(gram, len(code))
     h = (tb.mix(tb.roll(code + np.uint64(1), gram, _BASE)) >> np.uint64(32)).astype(np.uint64)
-    window = min(window, len(h))
+    window = min(window, max(LEAST_WINDOW, len(h) // WINDOWS), len(h))
     place = np.arange(len(h), dtype=np.uint64)
     low = tb.sliding_min(h << np.uint64(32) | (np.uint64(0xFFFFFFFF) - place), window)
     kept = low[np.concatenate([[True], low[1:] != low[:-1]])]
@@ -88,7 +94,7 @@ def with_neighbour(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    n = max(2, partitions(spark))
+    n = RANGES * max(2, partitions(spark))
     bounds = sorted({int(b) for b in source.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)})
     # ranges count down as ids do: 0 holds the largest; a null id is in the last
     rank = F.when(F.col("doc_id").isNull(), F.lit(len(bounds)))
@@ -105,7 +111,7 @@ def with_neighbour(docs: DataFrame, text: str = "text") -> DataFrame:
         lent = F.when((F.col("part") == r["part"]) & same, F.lit(order[i - 1])).otherwise(lent)
     own = placed.withColumn("lent", F.lit(0))
     borrowed = placed.withColumn("to", lent).where("to is not null").select("doc_id", "text", F.col("to").alias("part"), F.lit(1).alias("lent"))
-    rows = own.unionByName(borrowed).repartition(n, "part").sortWithinPartitions(F.col("part"), F.col("lent"), F.col("doc_id").desc_nulls_last(), F.col("text"))
+    rows = own.unionByName(borrowed).repartition(n // RANGES, "part").sortWithinPartitions(F.col("part"), F.col("lent"), F.col("doc_id").desc_nulls_last(), F.col("text"))
     schema = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
