@@ -108,15 +108,15 @@ def source_targets(sizes: DataFrame, weights: Column | None = None) -> DataFrame
     return step.withColumn("first", first).select("source", "source_size", F.when(F.col("first").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("first.level") * F.col("weight"))).alias("target"))
 
 
-COLUMNS = ["doc_id", "source", "size", "source_size", "target", "base", "p"]
-SCHEMA = "doc_id long, source string, size long, source_size long, target double, base long, p double"
+COLUMNS = ["doc_id", "again", "source", "size", "source_size", "target", "base", "p"]
+SCHEMA = "doc_id long, again long, source string, size long, source_size long, target double, base long, p double"
 
 
 def _settle(seed: int, level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """The flight phase of one group, and its landing at the last level; the same rows give the same draws."""
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id"], na_position="last", kind="stable")
+        pdf = pdf.sort_values(["size", "doc_id", "again"], na_position="last", kind="stable")
         own = random.Random(f"{seed} {level} {pdf['source'].iloc[0]} {pdf['part'].iloc[0]}")
         order = list(range(len(pdf)))
         own.shuffle(order)
@@ -146,7 +146,11 @@ def mix(docs: DataFrame, size: Column, seed: int = 0, group: int = GROUP) -> Dat
     an empty result.  Groups, order in them and draws depend on the rows and the seed alone, so reruns agree.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
-    rows = materialise(rows)
+    # repeated rows get numbers, by which they are dealt; a row that many hold is spread before it is repeated
+    pieces = rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    pieces = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / group) - 1))).repartition("doc_id", "size", "piece")
+    again = F.explode(F.sequence(F.col("piece") * group, F.least(F.col("n"), (F.col("piece") + 1) * group) - 1)).alias("again")
+    rows = materialise(pieces.select("doc_id", "source", "size", again))
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = materialise(source_targets(totals.select("source", "source_size")).join(totals.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -158,7 +162,7 @@ def mix(docs: DataFrame, size: Column, seed: int = 0, group: int = GROUP) -> Dat
     most = targets.agg(F.max("n")).first()[0] or 0
     while True:
         last = most <= group
-        key = F.xxhash64("doc_id", "size", F.lit(seed + level))
+        key = F.xxhash64("doc_id", "size", "again", F.lit(seed + level))
         dealt = open_.withColumn("part", F.pmod(key, F.greatest(F.lit(1), F.ceil(F.col("n") / group))))
 
         settled = materialise(dealt.groupBy("source", "part").applyInPandas(_settle(seed, level, last), SCHEMA))
