@@ -149,16 +149,17 @@ def _stars(members: DataFrame, full: DataFrame) -> DataFrame:
     return _compared(dealt, lambda t: t.hub_pairs())
 
 
-def _across(members: DataFrame, groups: DataFrame, full: DataFrame) -> DataFrame:
+def _across(members: DataFrame, groups: DataFrame, full: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) between groups, from all pairs of sets that share a bucket and aren't in one group yet.
 
     Buckets of one group are left out.  A large bucket is cut into blocks by a hash of the set, and a set goes to each
     pair of blocks that its own belongs to, so tasks share the comparisons and hold two blocks at once.
     """
-    label = members.join(groups, F.col("cls") == F.col("node"), "left").select("first", "cls", "n", F.coalesce("component", "cls").alias("grp"))
+    label = scratch.keep(members.join(groups, F.col("cls") == F.col("node"), "left").select("first", "cls", "n", F.coalesce("component", "cls").alias("grp")))
     key = F.xxhash64("grp")
     mixed = label.groupBy("first").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("sets"), F.sum("n").alias("total")).where("low < high")
-    own = label.join(mixed.select("first", _blocks("sets", "total")), "first").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    mixed = scratch.keep(mixed.select("first", "sets", _blocks("sets", "total")))
+    own = join_sized(label, mixed, "first", "sets").where("blocks > 0").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = own.select(F.xxhash64("first").alias("bucket"), F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "cls", "grp")
     dealt = rows.join(full, "cls").select("bucket", "lo", "hi", "part", F.lit(0).alias("rank"), "grp", "own")
@@ -324,7 +325,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         needed = scratch.keep(classes.select("cls", "row").join(members.select("cls").distinct(), "cls", "left_semi"))
         full = scratch.keep(_full_sets(source, needed))
         groups = connected_components(_stars(members, full), scratch)
-        more = connected_components(_across(members, groups, full), scratch)
+        more = connected_components(_across(members, groups, full, scratch), scratch)
         # a group's final name: what its own group of the second links is called
         named = groups.withColumnRenamed("component", "old").join(more.withColumnRenamed("node", "old"), "old", "left").select("node", F.coalesce("component", "old").alias("component"))
         named = scratch.keep(named.union(more.join(groups, "node", "left_anti").select("node", "component")))

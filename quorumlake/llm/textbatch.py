@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Longer words are named by a digest: sums modulo 2**64 of bytes can be made to collide from 1024 bytes on.
+LONG_WORD = 256
 
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
@@ -137,6 +139,8 @@ def words(texts: Texts, rule: WordRule) -> Words:
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
     h = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        h[i] = np.int64(digest64(b[start[i] : end[i]].tobytes())).view(np.uint64)
     return Words(h, np.searchsorted(start, texts.offsets).astype(np.int64), start, end)
 
 
