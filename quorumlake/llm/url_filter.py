@@ -44,6 +44,7 @@ def _absolute(target: Column, url: Column, scheme: Column, root: Column, folder:
     return (
         F.when(target == "", F.lit(None))
         .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))  # mailto: and the like are no pages
         .when(target.startswith("//"), F.concat(scheme, target))
         .when(target.startswith("/"), F.concat(root, target))
         .when(target.startswith("?"), F.concat(F.regexp_replace(url, r"(?s)[?#].*$", ""), target))
@@ -51,6 +52,15 @@ def _absolute(target: Column, url: Column, scheme: Column, root: Column, folder:
     )
 
 
+def _straight(url: Column) -> Column:
+    """The address with . and .. in its path resolved; .. above the root is dropped."""
+    head, tail = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(.*)$", 1)
+    parts = F.split(F.concat(path_of(url), F.when(path_of(url).rlike(r"(^|/)\.\.?$"), F.lit("/")).otherwise(F.lit(""))), "/")
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)).otherwise(F.concat(done, F.array(x)))
+    walked = F.concat(head, F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"), tail)
+    return F.when(url.contains("/."), walked).otherwise(url)
+
+
 def _given(df: DataFrame, name: str, value: Column) -> DataFrame:
     """A column that later expressions read as it is; withColumn() would let Spark copy its expression into each."""
     return df.select("*", F.explode(F.array(value)).alias(name))
@@ -58,7 +68,7 @@ def _given(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """Edges a, b between resources that a page's canonical link or redirect (meta refresh) declares equivalent."""
-    tags = F.concat(F.regexp_extract_all("html", F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), F.lit(0)), F.regexp_extract_all("html", F.lit(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0)))
+    tags = F.concat(F.regexp_extract_all("html", F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*(?:[\"'][^\"'>]*\b)?canonical\b[^>]*>"), F.lit(0)), F.regexp_extract_all("html", F.lit(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0)))
     found = pages.where(F.col("url").contains("://") & F.col("html").rlike("(?i)canonical|refresh")).select("url", F.explode(tags).alias("tag"))
     href = F.nullif(F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1), F.lit(""))
     after = F.nullif(F.regexp_extract("tag", r"(?is)\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*'?\"?([^\"'\s>]+)", 1), F.lit(""))
@@ -67,7 +77,8 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     found = _given(found, "root", F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1))
     found = _given(found, "folder", F.coalesce(F.nullif(F.regexp_extract("url", r"(?s)^.*?://[^/?#]*(/(?:[^?#]*/)?)", 1), F.lit("")), F.lit("/")))
     found = _given(found, "to", _absolute(*(F.col(c) for c in ("target", "url", "scheme", "root", "folder"))))
-    return found.select(resource(F.col("url")).alias("a"), resource(F.col("to")).alias("b")).where("a is not null and b is not null and a <> b")
+    found = _given(found, "straight", _straight(F.col("to")))
+    return found.select(resource(F.col("url")).alias("a"), resource(F.col("straight")).alias("b")).where("a is not null and b is not null and a <> b")
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
