@@ -39,8 +39,12 @@ def fuzzy_entities(titles: DataFrame, entities: DataFrame, k: int = 5, word: int
 
 
 def similar_flags(unknown: DataFrame, known: DataFrame, most: int = 3, k: int = 3) -> DataFrame:
-    """The k names nearest by edits, within a distance.  Names are a short list of options."""
-    met = unknown.crossJoin(F.broadcast(known.limit(10_000))).withColumn("distance", F.levenshtein("flag", "name"))  # options, bounded
+    """The k names nearest by edits, within a distance.
+
+    Names within ``most`` edits have lengths at most so far apart, so pairs are joined on length before edits are counted.
+    """
+    lengths = known.withColumn("size", F.explode(F.sequence(F.length("name") - most, F.length("name") + most)))
+    met = unknown.withColumn("size", F.length("flag")).join(lengths, "size").drop("size").withColumn("distance", F.levenshtein("flag", "name"))
     order = Window.partitionBy("flag").orderBy("distance", "name")
     return met.where(F.col("distance") <= most).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -23,9 +23,9 @@ def real(entities: DataFrame) -> DataFrame:
 def combined(entities: DataFrame, domains: DataFrame, analyses: DataFrame, means: DataFrame) -> DataFrame:
     """Every entity in every visible domain: whether it has an analysis, uses the state's code, and its mean score.
 
-    Domains are a short list, so each entity is expanded by them in place; a score counts only without the state's code.
+    Spark broadcasts the domains if they are few, which they are by nature, and else pairs partitions; a score counts only without the state's code.
     """
-    cells = real(entities).select("entity_id", "name").crossJoin(F.broadcast(visible(domains).select("domain_id").limit(10_000)))  # a list of domains, bounded
+    cells = real(entities).select("entity_id", "name").crossJoin(visible(domains).select("domain_id"))
     state = analyses.select(*KEY, "state_code")
     out = cells.join(state, KEY, "left").join(means, KEY, "left")
     uses_state = F.coalesce("state_code", F.lit(False))
@@ -34,7 +34,7 @@ def combined(entities: DataFrame, domains: DataFrame, analyses: DataFrame, means
 
 def summary(entities: DataFrame, domains: DataFrame, analyses: DataFrame, scores: DataFrame) -> DataFrame:
     """Rows of the domain pages: score and colour of each entity in each visible domain, no score under state code."""
-    cells = real(entities).select("entity_id", "name", "type").crossJoin(F.broadcast(visible(domains).select("domain_id").limit(10_000)))  # a list of domains, bounded
+    cells = real(entities).select("entity_id", "name", "type").crossJoin(visible(domains).select("domain_id"))
     out = cells.join(analyses.select(*KEY, "state_code"), KEY, "left").join(scores, KEY, "left")
     score = F.when(~F.coalesce("state_code", F.lit(False)), F.col("score"))
     return out.select(*KEY, "name", "type", F.coalesce("state_code", F.lit(False)).alias("state_code"), score.alias("score"), green_rgb(score).alias("colour"), green_hex(score).alias("colour_hex"))

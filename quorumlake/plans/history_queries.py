@@ -180,11 +180,11 @@ def reindexed_chunks(spark: SparkSession, d: str) -> DataFrame:
     return vectors.renamed(vectors.without_prefix(_chunks(spark, d), gone), "3-doc1", "9-new").select("vec_id", "chunk_id")
 
 
-@R.add(f"WITH {CHUNKS_SQL} SELECT chunk_id, CASE WHEN vec_id % 5 = 0 THEN 0 WHEN kind = 'code' THEN 1 ELSE 2 END AS priority FROM chunks WHERE vec_id % 5 = 0 OR kind = 'code' OR vec_id % 7 = 0", common=False)
+@R.add(f"WITH {CHUNKS_SQL} SELECT chunk_id, CASE WHEN vec_id % 5 = 0 THEN 0 WHEN kind = 'code' THEN 1 ELSE 2 END AS priority FROM chunks", common=False)
 def prioritised_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """G01, G02."""
+    """Hits of the question, then of the kind, then the rest."""
     rows = _chunks(spark, d).select("chunk_id", "vec_id", "kind")
-    return vectors.prioritised(rows.where("vec_id % 5 = 0"), rows.where("kind = 'code'"), rows.where("vec_id % 7 = 0")).select("chunk_id", "priority")
+    return vectors.prioritised(rows.where("vec_id % 5 = 0"), rows.where("kind = 'code'"), rows).select("chunk_id", "priority")
 
 
 @R.add("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN p_partkey || '-shared/' WHEN p_size % 4 = 1 THEN p_partkey || '-shared/codes.md' ELSE p_partkey || '-trees/' || (CASE WHEN p_size % 2 = 0 THEN 'policy' ELSE 'statute' END) END AS key FROM part", common=False)
@@ -216,19 +216,19 @@ def ruleset_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add("""SELECT coalesce(n.url, o.url) AS url, coalesce(n.title, o.title) AS title
-FROM (SELECT DISTINCT url, 'old' AS title FROM hist WHERE entity_id < 20) o FULL JOIN (SELECT DISTINCT url, 'new' AS title FROM hist WHERE entity_id > 30) n ON n.url = o.url""")
+FROM (SELECT DISTINCT url, 'old' AS title FROM hist WHERE entity_id < 20) o FULL JOIN (SELECT DISTINCT url, 'new' AS title FROM hist WHERE entity_id >= 20) n ON n.url = o.url""")
 def upserted_sources(spark: SparkSession, d: str) -> DataFrame:
     """A55."""
     rows = _history(spark, d)
-    old, new = rows.where("entity_id < 20").select("url", F.lit("old").alias("title")).distinct(), rows.where("entity_id > 30").select("url", F.lit("new").alias("title")).distinct()
+    old, new = rows.where("entity_id < 20").select("url", F.lit("old").alias("title")).distinct(), rows.where("entity_id >= 20").select("url", F.lit("new").alias("title")).distinct()
     return versions.override(old, new, ["url"])
 
 
-@R.add("""SELECT DISTINCT url, 'old' AS title FROM hist WHERE entity_id < 20 UNION ALL SELECT DISTINCT url, 'history' FROM hist WHERE entity_id > 30 AND url NOT IN (SELECT url FROM hist WHERE entity_id < 20)""")
+@R.add("""SELECT DISTINCT url, 'old' AS title FROM hist WHERE entity_id < 20 UNION ALL SELECT DISTINCT url, 'history' FROM hist WHERE entity_id >= 20 AND url NOT IN (SELECT url FROM hist WHERE entity_id < 20)""")
 def merged_sources(spark: SparkSession, d: str) -> DataFrame:
     """C17, G03."""
     rows = _history(spark, d)
-    old, new = rows.where("entity_id < 20").select("url", F.lit("old").alias("title")).distinct(), rows.where("entity_id > 30").select("url", F.lit("history").alias("title")).distinct()
+    old, new = rows.where("entity_id < 20").select("url", F.lit("old").alias("title")).distinct(), rows.where("entity_id >= 20").select("url", F.lit("history").alias("title")).distinct()
     return history.merged_sources(old, new, ["url"])
 
 

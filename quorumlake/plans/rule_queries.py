@@ -179,17 +179,17 @@ def state_documents(spark: SparkSession, d: str) -> DataFrame:
     """A13."""
     ids = t.entities(spark, d).select(F.col("entity_id").cast("string").alias("entity_id"))
     names = t.domains(spark, d).select("domain_id")
-    wanted = ids.crossJoin(F.broadcast(names.limit(10_000))).withColumn("state_id", F.lit("state"))  # a list of domains, bounded
+    wanted = ids.crossJoin(names).withColumn("state_id", F.lit("state"))
     current = t.analyses(spark, d).where("version = 1").select(F.col("entity_id").cast("string").alias("entity_id"), "domain_id", "state_code")
     own = ids.where("cast(entity_id as long) % 2 = 0").withColumn("text", F.concat(F.lit("text "), "entity_id")).union(spark.createDataFrame([("state", "state text")], "entity_id string, text string"))
-    return lookup.state_documents(wanted, current, own.crossJoin(F.broadcast(names.limit(10_000))))  # a list of domains, bounded
+    return lookup.state_documents(wanted, current, own.crossJoin(names))
 
 
 @R.add(f"""WITH {t.CIVIC_SQL} SELECT e.entity_id, d.domain_id, CASE WHEN c.entity_id IS NULL THEN '' ELSE 'https://h/' || c.entity_id END AS home_page, coalesce(n_sources, 0)::BIGINT AS n_sources
 FROM entities e CROSS JOIN domains d LEFT JOIN (SELECT entity_id, domain_id, count(*) AS n_sources FROM analyses GROUP BY 1, 2) c ON c.entity_id = e.entity_id AND c.domain_id = d.domain_id""")
 def rulesets_or_default(spark: SparkSession, d: str) -> DataFrame:
     """A10, A65."""
-    pairs = t.entities(spark, d).select("entity_id").crossJoin(F.broadcast(t.domains(spark, d).select("domain_id").limit(10_000)))  # a list of domains, bounded
+    pairs = t.entities(spark, d).select("entity_id").crossJoin(t.domains(spark, d).select("domain_id"))
     had = t.analyses(spark, d).groupBy("entity_id", "domain_id").agg(F.count("*").alias("n_sources")).withColumn("home_page", F.concat(F.lit("https://h/"), "entity_id"))
     return lookup.rulesets_or_default(pairs, had)
 

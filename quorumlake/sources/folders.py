@@ -10,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def shared(spark: SparkSession) -> str:
-    """A new name below spark.checkpoint.dir; where that isn't set, as in tests, below the temporary folder."""
+    """A new name below spark.checkpoint.dir; where that isn't set, in a local session alone, below the temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "quorumlake-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/quorumlake-{uuid.uuid4().hex}"

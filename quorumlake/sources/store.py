@@ -92,7 +92,12 @@ def normal(confidence: Column) -> Column:
 
 def texts(spark: SparkSession, root: str, realm_id: str, kind: str) -> DataFrame:
     """entity_id, domain_id, text of each statute or policy."""
-    rows = spark.read.text(f"{root}/{realm_id}/*/*/{kind}.txt", wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
+    return text_files(spark, f"{root}/{realm_id}/*/*/{kind}.txt")
+
+
+def text_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """Whole files as texts; the two folders above each name its entity and domain."""
+    rows = spark.read.text(pattern, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
     return rows.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("entity_id"), F.regexp_extract("path", "([^/]+)/[^/]+/[^/]+$", 1).alias("domain_id"), "text")
 
 

@@ -76,7 +76,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answers(spark: SparkSession, sf_dir: str, current: bool = False) -> DataFrame:
     """A07, exploded: analysis_id, entity_id, domain_id, version, question_id, score (0 to 1), confidence, answer."""
     rest = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    lines = table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*rest))).where("rn = 1")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*rest)).alias("least")).select("l_orderkey", "l_linenumber", "least.*")
     versions = analyses(spark, sf_dir)
     if current:
         versions = versions.where("version = 1")

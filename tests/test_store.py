@@ -80,3 +80,20 @@ def test_embedder():
     assert v.shape == (4, 32) and v[0] @ v[1] > v[0] @ v[2] and abs(v[0] @ v[0] - 1) < 1e-9 and not v[3].any()
     with pytest.raises(KeyError):
         models.provider("other-1")
+
+
+def test_ten_thousand_domains(spark):
+    """No list of domains or keywords is cut, however long it is."""
+    from quorumlake.operators import lookup, matrix, pages
+
+    ids = spark.range(10_001).select(F.concat(F.lit("d"), "id").alias("domain_id"), F.lit(True).alias("show"))
+    people = spark.createDataFrame([(1, "One", "Town", False)], "entity_id long, name string, type string, test boolean")
+    none = spark.createDataFrame([], "entity_id long, domain_id string, state_code boolean, mean_score double, score double")
+    assert matrix.combined(people, ids, none, none.select("entity_id", "domain_id", "mean_score")).count() == 10_001
+    assert matrix.summary(people, ids, none, none.select("entity_id", "domain_id", "score")).count() == 10_001
+    words = ids.select("domain_id", F.lit("general").alias("type"), F.lit("tree").alias("keyword"))
+    page = spark.createDataFrame([(1, "u", "A tree", "", "")], "page_id long, url string, title string, headers string, body string")
+    assert pages.domain_scores(page, words).count() == 10_001
+    names = ids.select(F.col("domain_id").alias("name"))
+    found = lookup.similar_flags(spark.createDataFrame([("d1000x",)], "flag string"), names, most=1).collect()
+    assert {r.name for r in found} == {"d1000", "d10000"} | ({r.name for r in found} - {"d1000", "d10000"}) and all(r.distance <= 1 for r in found)
