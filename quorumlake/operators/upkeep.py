@@ -266,3 +266,25 @@ def scoped_practices(best: DataFrame, stale: DataFrame, fresh: DataFrame) -> Dat
     """Best practices of a partial update: stale questions take the fresh ones, all others stay, in order of question."""
     kept = best.join(stale.select("domain_id", "question_id"), ["domain_id", "question_id"], "left_anti")
     return kept.unionByName(fresh.join(stale.select("domain_id", "question_id"), ["domain_id", "question_id"], "left_semi"))
+
+
+def article_links(pages_: DataFrame) -> DataFrame:
+    """Articles that a page's list of contents names, in order: page_id, position, title, url.
+
+    Links of class titleLink whose number names an article and whose address has another path than the page itself.
+    """
+    tags = F.regexp_extract_all("html", F.lit(r"(?is)(<a\b[^>]*class=[\"'][^\"']*titleLink[^\"']*[\"'][^>]*>.*?</a>)"), F.lit(1))
+    rows = pages_.select("page_id", "url", F.posexplode(tags).alias("position", "tag"))
+    title = F.trim(F.regexp_extract("tag", r"(?is)class=[\"']titleNumber[\"'][^>]*>(.*?)<", 1))
+    href = F.regexp_extract("tag", r"(?is)\bhref=[\"']([^\"']*)[\"']", 1)
+    root = F.regexp_extract("url", "^([^:]+://[^/?#]*)", 1)
+    full = F.when(href.startswith("http"), href).when(href.startswith("#"), F.concat("url", href)).otherwise(F.concat(root, href))
+    found = rows.select("page_id", "position", title.alias("title"), full.alias("to"), urls.path(F.col("url")).alias("__own"))
+    return found.where(F.contains("title", F.lit("Article")) & (urls.path(F.col("to")) != F.col("__own"))).select("page_id", "position", "title", F.col("to").alias("url"))
+
+
+def stitched(articles: DataFrame, bodies: DataFrame, least: int = 50) -> DataFrame:
+    """The texts of a page's articles in order, each under its title; short ones are left out."""
+    part = F.concat(F.lit("\n\n=== "), "title", F.lit(" ===\n\n"), "body")
+    rows = articles.join(bodies.where(F.length("body") > least), "url").select("page_id", F.struct("position", part.alias("part")).alias("p"))
+    return rows.groupBy("page_id").agg(F.count("*").alias("n_articles"), F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["part"]), "").alias("text"))

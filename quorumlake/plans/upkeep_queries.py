@@ -10,6 +10,7 @@ from quorumlake.functions import time as times
 from quorumlake.operators import history, lookup, pages, scoring, sources, upkeep
 from quorumlake.plans import history_queries, text_queries
 from quorumlake.plans.registry import Registry
+from quorumlake.providers import models
 from quorumlake.sources import folders
 from quorumlake.sources import tables as t
 from quorumlake.streaming import incremental
@@ -413,3 +414,49 @@ def upserted_chunks(spark: SparkSession, d: str) -> DataFrame:
     write(rows.withColumn("body", F.lit("first")), 0)
     write(rows.where("chunk_id % 2 = 0").withColumn("body", F.lit("second")), 1)
     return incremental.read_upserted(spark, folder, "chunk_id").select("chunk_id", "label", "body")
+
+
+@R.add("""SELECT entity_id, domain_id, count(*) || ' answers' AS summary FROM answers WHERE version = 1 GROUP BY 1, 2""")
+def overall_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """K03, by a stand-in that counts what it was told."""
+    return models.summaries(t.answers(spark, d, current=True).select("entity_id", "domain_id", "question_id", "answer", "score"), lambda p: f" {p.count('Q: ')} answers ")
+
+
+@R.add(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY domain_id, question_id ORDER BY score DESC, entity_id) AS rank FROM answers WHERE version = 1)
+SELECT domain_id, question_id, CASE WHEN question_id = 1 THEN '{t.NOT_IN_STATUTE}' ELSE 'Require ' || string_agg(entity_id, ' ' ORDER BY rank) END AS practice FROM r WHERE rank <= 3 GROUP BY 1, 2""".replace("WITH r AS", ", r AS"))
+def best_practices(spark: SparkSession, d: str) -> DataFrame:
+    """K04, on the three best answers; the stand-in names them, and says nothing on the first question."""
+    top = upkeep.numbered(t.answers(spark, d, current=True), ["domain_id", "question_id"], [F.desc("score"), F.col("entity_id")], "rank").where("rank <= 3")
+    said = top.withColumn("answer", F.when(F.col("question_id") == 1, "none").otherwise("some"))
+    ask = lambda p: "Best practice: " if "Answer: none" in p else "Best practice:  Require " + " ".join(x.split(": ")[1].split("\n")[0] for x in p.split("\n---\n"))
+    return models.best_practices(said, ask, t.NOT_IN_STATUTE)
+
+
+@R.add(f"""SELECT entity_id, domain_id, question_id, CASE WHEN question_id > 5 OR question_id = 3 THEN NULL WHEN answer = '{t.NOT_IN_STATUTE}' THEN '' ELSE 'No gap' END AS gap,
+  CASE WHEN question_id > 5 THEN NULL WHEN question_id = 3 THEN 0.7 WHEN answer = '{t.NOT_IN_STATUTE}' THEN 0.0 ELSE 0.9 END::DOUBLE AS score FROM answers WHERE version = 1""")
+def enriched_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The third question has its scores already, those after the fifth have no best practice."""
+    rows = t.answers(spark, d, current=True).select("entity_id", "domain_id", "question_id", "answer", F.when(F.col("question_id") == 3, 0.7).alias("score"))
+    practices = t.questions(spark, d).where("question_id <= 5").select("domain_id", "question_id", F.lit("Require it.").alias("practice"))
+    all_ = practices.union(t.domains(spark, d).select("domain_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("question_id"), F.lit("Require it.").alias("practice"))).distinct()
+    return models.enriched(rows, all_, lambda p: '{"gap": "No gap", "score": 0.9, "nextPrompts": []}', (t.NOT_IN_STATUTE,))
+
+
+@R.add("""SELECT doc_id, coalesce(length(text) % 2 = 0, false) AS is_relevant, CASE WHEN length(text) % 2 = 0 THEN 100.0 ELSE 0.0 END::DOUBLE AS confidence FROM documents""", common=False)
+def judged_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Replies that can't be read count as no; the stand-in judges by the parity of what it is told."""
+    rows = _docs(spark, d).select("doc_id", F.lit("x").alias("name"), F.col("text").alias("content"))
+    ask = lambda p: '{"relevant": true, "confidence": 170}' if (len(p) - len("Is this about x?\n")) % 2 == 0 else "I can't say"
+    return models.judged(rows, ask).select("doc_id", "is_relevant", "confidence")
+
+
+@R.add("""SELECT page_id, (1 + CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_articles, CASE WHEN page_id % 2 = 0 THEN chr(10) || chr(10) || '=== Article I ===' || chr(10) || chr(10) || repeat('a', 60) ELSE '' END
+  || chr(10) || chr(10) || '=== Article II ===' || chr(10) || chr(10) || repeat('b', 60) AS text FROM pages""", common=False)
+def stitched_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Two articles of each page, of which odd pages have the first on the page itself; a third is too short."""
+    link = lambda to, title: F.concat(F.lit('<a class="x titleLink" href="'), to, F.lit('"><span class="titleNumber">'), F.lit(title), F.lit("</span> t</a>"))
+    k = F.col("page_id")
+    listed = F.concat(link(F.when(k % 2 == 0, "/one").otherwise("#one"), " Article I "), link(F.lit("/two"), "Article II"), link(F.lit("/three"), "Article III"), link(F.lit("/four"), "Chapter 4"))
+    found = upkeep.article_links(t.table(spark, d, "pages").select("page_id", F.concat(F.lit("https://a"), k, F.lit(".org/code")).alias("url"), listed.alias("html")))
+    bodies = found.select("url", F.when(F.endswith("url", F.lit("/one")), F.repeat(F.lit("a"), F.lit(60))).when(F.endswith("url", F.lit("/two")), F.repeat(F.lit("b"), F.lit(60))).otherwise("short").alias("body"))
+    return upkeep.stitched(found, bodies)

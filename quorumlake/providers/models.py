@@ -73,3 +73,51 @@ def answered(questions: DataFrame, ask: Callable[[str], tuple[str, float, float]
     raw = questions.mapInPandas(run, schema)
     tidy = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.coalesce(F.nanvl("confidence", F.lit(50.0)), F.lit(50.0))))
     return raw.withColumn("confidence", tidy).withColumn("score", F.when(F.col("answer") == sentinel, 0.0).otherwise(F.col("score")))
+
+
+def told(rows: DataFrame, ask: Callable[[str], str], name: str) -> DataFrame:
+    """What a provider says to each row's prompt, trimmed, in a new column; rows without a prompt aren't asked."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(**{name: [None if p is None else (ask(p) or "").strip() for p in b["prompt"]]})
+
+    return rows.mapInPandas(run, schema)
+
+
+def summaries(answers: DataFrame, ask: Callable[[str], str]) -> DataFrame:
+    """A summary of each analysis from its answers in order of question."""
+    line = F.concat(F.lit("Q: "), "question_id", F.lit("\nA: "), F.coalesce("answer", F.lit("")), F.lit(" (score: "), F.coalesce(F.col("score").cast("string"), F.lit("?")), F.lit(")"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("question_id", line.alias("line")))), lambda x: x["line"])
+    prompt = F.concat(F.lit("Summarise in 15 words how well the rules work:\n\n"), F.array_join(lines, "\n\n"))
+    return told(answers.groupBy("entity_id", "domain_id").agg(prompt.alias("prompt")), ask, "summary").drop("prompt")
+
+
+def best_practices(top: DataFrame, ask: Callable[[str], str], sentinel: str) -> DataFrame:
+    """A best practice of each question from its top answers (rank), without a label before it; the sentinel if empty."""
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("rank", "entity_id", "answer"))), lambda x: F.concat(F.lit("entity "), x["rank"], F.lit(": "), x["entity_id"], F.lit("\nAnswer: "), x["answer"]))
+    said = told(top.groupBy("domain_id", "question_id").agg(F.array_join(parts, "\n---\n").alias("prompt")), ask, "practice").drop("prompt")
+    bare = F.trim(F.regexp_replace("practice", r"(?i)^(synthesized )?best practice:\s*", ""))
+    return said.withColumn("practice", F.coalesce(F.nullif(bare, F.lit("")), F.lit(sentinel)))
+
+
+def enriched(answers: DataFrame, practices: DataFrame, ask: Callable[[str], str], empty: tuple[str, ...]) -> DataFrame:
+    """Gap and score of answers that have a best practice and no score yet; answers that say nothing get score 0 and no gap.
+
+    ask returns JSON of gap, score and nextPrompts; what can't be read leaves the row as it was.
+    """
+    rows = answers.join(practices.select("domain_id", "question_id", F.col("practice").alias("__p")), ["domain_id", "question_id"], "left")
+    open_, nothing = F.col("__p").isNotNull() & F.col("score").isNull(), (F.coalesce("answer", F.lit("")) == "") | F.col("answer").isin(*empty)
+    prompt = F.when(open_ & ~nothing, F.concat(F.lit("Answer: "), "answer", F.lit("\nBest practice: "), "__p"))
+    got = told(rows.withColumn("prompt", prompt), ask, "__said").withColumn("__j", F.from_json("__said", "gap string, score double, nextPrompts array<string>"))
+    skipped = open_ & nothing
+    return got.select("entity_id", "domain_id", "question_id", F.when(skipped, "").otherwise(F.col("__j.gap")).alias("gap"), F.when(skipped, F.lit(0.0)).otherwise(F.coalesce("score", F.col("__j.score"))).alias("score"))
+
+
+def judged(candidates: DataFrame, ask: Callable[[str], str]) -> DataFrame:
+    """Whether a candidate (name, content) is about a name, with confidence from 0 to 100; not if the reply can't be read."""
+    rows = candidates.withColumn("prompt", F.concat(F.lit("Is this about "), "name", F.lit("?\n"), "content"))
+    got = told(rows, ask, "__said").withColumn("__j", F.from_json("__said", "relevant boolean, confidence double"))
+    bounded = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.coalesce("__j.confidence", F.lit(0.0))))
+    return got.withColumn("is_relevant", F.coalesce("__j.relevant", F.lit(False))).withColumn("confidence", bounded).drop("prompt", "__said", "__j")
