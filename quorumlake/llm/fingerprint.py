@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,20 +97,20 @@ def with_neighbour(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     n = RANGES * max(2, partitions(spark))
-    bounds = sorted({int(b) for b in source.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)})
+    bounds = sorted({float(b) for b in source.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)})
     # ranges count down as ids do: 0 holds the largest; a null id is in the last
-    rank = F.when(F.col("doc_id").isNull(), F.lit(len(bounds)))
+    placed = source.withColumn("part", F.lit(0))
     if bounds:
-        rank = rank.otherwise(F.lit(len(bounds)) - F.aggregate(F.array(*(F.lit(b) for b in bounds)), F.lit(0), lambda a, b: a + (F.col("doc_id") > b).cast("int")))
-    else:
-        rank = rank.otherwise(F.lit(0))
-    placed = source.withColumn("part", rank)
+        found = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="id", outputCol="range", handleInvalid="keep")
+        rank = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(len(bounds) - F.col("range").cast("int"))
+        placed = found.transform(source.withColumn("id", F.col("doc_id").cast("double"))).select("doc_id", "text", rank.alias("part"))
     heads = placed.groupBy("part").agg(F.max("doc_id").alias("head"), F.count("*").alias("n")).orderBy("part").collect()  # a row for each range
-    order = [r["part"] for r in heads]
-    lent = F.lit(None).cast("int")
+    head: list[int | None] = [None] * (len(bounds) + 1)
+    before: list[int | None] = [None] * (len(bounds) + 1)
     for i, r in enumerate(heads):
-        same = F.col("doc_id").isNull() if r["head"] is None else (F.col("doc_id") == r["head"])
-        lent = F.when((F.col("part") == r["part"]) & same, F.lit(order[i - 1])).otherwise(lent)
+        head[r["part"]], before[r["part"]] = r["head"], heads[i - 1]["part"]
+    own_of = lambda values, kind: F.element_at(F.array(*(F.lit(v).cast(kind) for v in values)), F.col("part") + 1)  # noqa: E731  an array that Spark folds to one constant
+    lent = F.when(F.col("doc_id").eqNullSafe(own_of(head, "long")), own_of(before, "int"))
     own = placed.withColumn("lent", F.lit(0))
     borrowed = placed.withColumn("to", lent).where("to is not null").select("doc_id", "text", F.col("to").alias("part"), F.lit(1).alias("lent"))
     rows = own.unionByName(borrowed).repartition(n // RANGES, "part").sortWithinPartitions(F.col("part"), F.col("lent"), F.col("doc_id").desc_nulls_last(), F.col("text"))
