@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 
 #: Least and most estimated tokens and most characters of a chunk.
 LEAST_TOKENS, MOST_TOKENS, MOST_CHARS = 100, 5000, 12000
+#: Fixed values of chunks by section: characters over which a section is cut, of its pieces, and of the shortest chunk kept.
+LONG_SECTION, PIECE, SHORT_SECTION = 3000, 1200, 400
 
 _MARKS, _NUMBERS, _SENTENCE = re.compile(r"[§()\[\].,:;]"), re.compile(r"[0-9]+"), re.compile(r"(?<=[.!?])\s+")
+_ENDS = (re.compile(r"\.\n\s*\n"), re.compile(r"\.\n"))
+_PARAGRAPH, _MARKED = re.compile(r"\n\s*\n"), re.compile(r"(?=(?:§|Section)\s*\d+)", re.IGNORECASE)
+_LABEL = re.compile(r"(?:§|Section)\s*(\d+[\w\-]*)", re.IGNORECASE)
 _SECTION = re.compile(r"(?=§\s*\d+|Section\s+\d+|Article\s+[IVXLCDM]+)", re.IGNORECASE)
 
 
@@ -69,3 +74,43 @@ def chunks(text: Column, most: int = 2000) -> Column:
         return column.map(lambda t: chunks_of(t, most))
 
     return run(text)
+
+
+def _statute_parts(text: str) -> list[str]:
+    """Parts that end in a stop and a blank line, else in a stop and a line's end, else paragraphs, else marked sections."""
+    for end in _ENDS:
+        found = [x for x in end.split(text) if x.strip()]
+        if len(found) > 1:
+            return [*(x if x.endswith(".") else x + "." for x in found[:-1]), found[-1]]
+    found = _PARAGRAPH.split(text)
+    return found if len(found) > 1 else _MARKED.split(text)
+
+
+def _pieces(section: str) -> list[str]:
+    """A long section by sentences: a piece is closed by the sentence that would make it longer than PIECE."""
+    sentences = _SENTENCE.split(section)
+    out, first, size = [], 0, len(sentences[0])
+    for i, sentence in enumerate(sentences[1:], 1):
+        if size and size + len(sentence) > PIECE:
+            out.append(" ".join(sentences[first:i]).strip())
+            first, size = i, len(sentence)
+        else:
+            size += len(sentence) + (size > 0)
+    return [x for x in (*out, " ".join(sentences[first:]).strip()) if x]
+
+
+def section_chunks_of(text: str | None) -> list[dict[str, object]]:
+    """Chunks of some length, with their place among all parts and the number of the section that they name first."""
+    parts = [p for x in _statute_parts(text or "") for p in ([x] if len(x) <= LONG_SECTION else _pieces(x))]
+    kept = [(i, x.strip()) for i, x in enumerate(parts) if len(x.strip()) > SHORT_SECTION]
+    return [{"chunk_index": i, "content": x, "section": m[1] if (m := _LABEL.search(x)) else None} for i, x in kept]
+
+
+def section_chunks(text: Column) -> Column:
+    """H13 as a column: an array of chunk_index, content and section."""
+
+    @F.pandas_udf("array<struct<chunk_index:int,content:string,section:string>>")
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(section_chunks_of)
+
+    return run(text)

@@ -102,6 +102,17 @@ def html_parts(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "headers", "text"])
 
 
+@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]))
+def clean_html(html: pd.Series) -> pd.DataFrame:
+    """The text, and of the title, else of the first heading of level 1, else of level 2, a hundred characters."""
+    rows = []
+    for h in html:
+        title, blocks, _ = read(h)
+        heads = {t: x for t, x in reversed(blocks)}
+        rows.append({"title": (title or heads.get("h1") or heads.get("h2") or "")[:100], "text": text_of(h)})
+    return pd.DataFrame(rows, columns=["title", "text"])
+
+
 def normal_text(text: Column) -> Column:
     """Paragraphs kept, blanks collapsed, merged words split, lines of pure navigation dropped.
 
