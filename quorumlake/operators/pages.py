@@ -88,17 +88,18 @@ def page_status(seed: Column, priority: Column, is_index: Column, best: Column,
     return F.when(seed, "related").when(F.coalesce(best, F.lit(0.0)) < threshold, F.when(priority, "related").otherwise("unrelated")).when(is_index, "index").otherwise("related")
 
 
-def links_of(pages: DataFrame) -> DataFrame:
+def links_of(pages: DataFrame, place: bool = False) -> DataFrame:
     """page_id, url, text of the links of each page: resolved against its address, by match form, the first text.
 
-    pages: page_id, url, html.  Plain anchors are found by an expression, so no page leaves the JVM.
+    pages: page_id, url, html.  With place also pos, where a link first stands.  Plain anchors are found by an expression, so no page leaves the JVM.
     """
     rows = pages.select("page_id", F.col("url").alias("base"), F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)(<a\b[^>]*\bhref\s*=\s*[\"'][^\"'#][^\"']*[\"'][^>]*>.*?</a>)"), F.lit(1))).alias("pos", "tag"))
     rows = rows.select("page_id", "base", "pos", F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']([^\"']*)", 1).alias("href"), F.trim(F.regexp_replace(F.regexp_replace("tag", "(?s)<[^>]*>", " "), r"\s+", " ")).alias("text"))
     root = F.regexp_extract("base", "^([^:]+://[^/?#]*)", 1)
     full = F.when(F.col("href").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("href")).when(F.col("href").startswith("/"), F.concat(root, F.col("href"))).otherwise(F.concat(root, F.lit("/"), F.col("href")))
     rows = rows.select("page_id", "pos", "text", urls.match_form(full).alias("url"))
-    return rows.groupBy("page_id", "url").agg(F.min_by("text", F.struct(F.col("text") == "", F.col("pos"))).alias("text"))
+    first = [F.min("pos").alias("pos")] if place else []
+    return rows.groupBy("page_id", "url").agg(F.min_by("text", F.struct(F.col("text") == "", F.col("pos"))).alias("text"), *first)
 
 
 def link_reason(url: Column, host: Column, hosts: Sequence[str], visited: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quorumlake.plans import history_queries, rule_queries, scoring_queries, statute_queries, store_queries, text_queries, upkeep_queries
+from quorumlake.plans import content_queries, history_queries, rule_queries, scoring_queries, statute_queries, store_queries, text_queries, upkeep_queries
 from quorumlake.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _part in (scoring_queries, text_queries, history_queries, rule_queries, upkeep_queries, store_queries, statute_queries):
+for _part in (scoring_queries, text_queries, history_queries, rule_queries, upkeep_queries, store_queries, statute_queries, content_queries):
     QUERIES |= _part.R.queries
     ORACLES |= _part.R.oracles
