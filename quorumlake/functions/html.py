@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -113,6 +114,11 @@ def clean_html(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "text"])
 
 
+def once(x: Column, of: Callable[[Column], Column]) -> Column:
+    """A function of x, which is computed once however often the function names it."""
+    return F.get(F.transform(F.array(x), of), 0)
+
+
 def normal_text(text: Column) -> Column:
     """Paragraphs kept, blanks collapsed, merged words split, lines of pure navigation dropped.
 
@@ -121,7 +127,10 @@ def normal_text(text: Column) -> Column:
     for pattern, by in ((r"\n\s*\n", "\n\n"), (r"\t+", "\t"), (r"[ ]+", " "), (r"\n ", "\n"), (r"\n{3,}", "\n\n"), (r"([a-z])([A-Z])", "$1 $2")):
         text = F.regexp_replace(text, pattern, by)
     navigation = r"(?i)^(?:(?:back|next|home|menu|search|login|logout|print|email|share|download|pdf)|[\d\s\-\.]{1,10}|(?:©|®|™|\(c\)).*)$"
-    lines = F.filter(F.split(text, "\n"), lambda x: (F.trim(x) == "") | ~F.trim(x).rlike(navigation))
-    kept = F.array_join(lines, "\n")
     trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    return F.when((F.length(trimmed(kept)) < 50) & (F.length(trimmed(text)) > F.length(trimmed(kept))), trimmed(text)).otherwise(trimmed(kept))
+
+    def kept(all_: Column) -> Column:
+        lines = F.filter(F.split(all_, "\n"), lambda x: (F.trim(x) == "") | ~F.trim(x).rlike(navigation))
+        return once(trimmed(F.array_join(lines, "\n")), lambda some: F.when((F.length(some) < 50) & (F.length(trimmed(all_)) > F.length(some)), trimmed(all_)).otherwise(some))
+
+    return once(text, kept)

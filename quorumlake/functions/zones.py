@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -179,7 +180,7 @@ class Page(HTMLParser):
 
     def find_all(self, selector: str) -> Iterator[Element]:
         """Elements of a selector: tags, ids, classes, attributes, places, inside (blank) or right inside (>) another."""
-        steps = [s for s in re.split(r"\s*(>)\s*|(?<!\\)\s+(?![^\[]*\])", selector.strip()) if s]
+        steps = _steps(selector)
         return (x for x in ([self.root, *self.all] if self.root.tag else self.all) if _matches(x, steps))
 
     def find(self, selector: str | None) -> Element | None:
@@ -207,16 +208,22 @@ def _escaped(name: str) -> str:
     return re.sub(r"([^\w-])", r"\\\1", name)
 
 
-def _is(x: Element, compound: str) -> bool:
-    for m in _COMPOUND.finditer(compound):
-        own, cls, attr, value, nth, tag = m.groups()
-        plain = re.sub(r"\\(.)", r"\1", own or cls or value or "")
-        if (own and x.attrs.get("id", "").strip() != plain) or (cls and plain not in x.classes) or (tag and x.tag != tag.lower()) or (attr and x.attrs.get(attr) != plain) or (nth and x.nth != int(nth)):
+@lru_cache(maxsize=10_000)
+def _steps(selector: str) -> tuple:
+    """Parts of a selector: > or (id, class, attribute, value, place, tag) of what one element must have."""
+    parts = [s for s in re.split(r"\s*(>)\s*|(?<!\\)\s+(?![^\[]*\])", selector.strip()) if s]
+    plain = lambda m: tuple(re.sub(r"\\(.)", r"\1", g) if g else None for g in m.groups())
+    return tuple(p if p == ">" else tuple(map(plain, _COMPOUND.finditer(p))) for p in parts)
+
+
+def _is(x: Element, compound: tuple) -> bool:
+    for own, cls, attr, value, nth, tag in compound:
+        if (own and x.attrs.get("id", "").strip() != own) or (cls and cls not in x.classes) or (tag and x.tag != tag.lower()) or (attr and x.attrs.get(attr) != value) or (nth and x.nth != int(nth)):
             return False
     return True
 
 
-def _matches(x: Element, steps: list[str]) -> bool:
+def _matches(x: Element, steps: tuple) -> bool:
     if not steps or not _is(x, steps[-1]):
         return False
     rest = steps[:-1]
@@ -269,13 +276,16 @@ def _words(text: str) -> set[str]:
     return {w for w in text.lower().split() if len(w) > 3}
 
 
-@F.pandas_udf(T.ArrayType(_struct(selector=T.StringType(), home=T.IntegerType(), page=T.IntegerType(), alike=T.DoubleType(), home_place=T.IntegerType(), place=T.IntegerType())))
-def compared_blocks(home: pd.Series, html: pd.Series, first: pd.Series, needle: pd.Series) -> pd.Series:
-    """Of a selector and then of those of CONTENTS, if both pages have it: lengths, likeness (Jaccard, of words of
-    four characters or more) and places of the needle; null without a selector."""
+_PAIR = _struct(selector=T.StringType(), home=T.IntegerType(), page=T.IntegerType(), alike=T.DoubleType(), home_place=T.IntegerType(), place=T.IntegerType())
+
+
+@F.pandas_udf(_struct(first=T.StringType(), blocks=T.ArrayType(_PAIR)))
+def compared_blocks(home: pd.Series, html: pd.Series, first: pd.Series, needle: pd.Series) -> pd.DataFrame:
+    """A selector as it is given; and of it and those of CONTENTS, if both pages have it, lengths, likeness (Jaccard,
+    of words of four characters or more) and places of the needle, null without a selector or a main page."""
 
     def of(a: str | None, b: str | None, selector: str | None, word: str | None) -> list | None:
-        if not selector:
+        if not selector or a is None:
             return None
         there, here, out = Page(a), Page(b), []
         for s in (selector, *CONTENTS):
@@ -287,7 +297,7 @@ def compared_blocks(home: pd.Series, html: pd.Series, first: pd.Series, needle:
                 out.append({"selector": s, "home": len(t), "page": len(u), "alike": alike, "home_place": t.lower().find(word or ""), "place": u.lower().find(word or "")})
         return out
 
-    return pd.Series([of(*row) for row in zip(home, html, first, needle, strict=True)], dtype=object)
+    return pd.DataFrame({"first": first, "blocks": pd.Series([of(*row) for row in zip(home, html, first, needle, strict=True)], dtype=object)})
 
 
 @F.pandas_udf(T.StringType())

@@ -71,18 +71,18 @@ def content_selectors(docs: DataFrame) -> DataFrame:
     then the first known selector whose block is unlike the main page's.  Without such a block comments may mark one.
     A page is judged with what its row has, so nothing is shuffled.  Null pages have no selector.
     """
-    found = docs.withColumn("__first", F.get(ranked_selectors(zones.titled_blocks("html", "needle")), 0)["selector"])
-    found = found.withColumn("__met", F.when(F.col("home").isNotNull(), zones.compared_blocks("home", "html", "__first", "needle")))
+    found = docs.withColumn("__met", zones.compared_blocks("home", "html", F.get(ranked_selectors(zones.titled_blocks("html", "needle")), 0)["selector"], "needle"))
+    first, met = F.col("__met.first"), F.col("__met.blocks")
     near = lambda place: place.between(0, NEAR)
     long = lambda x, n: (x["home"] >= n) & (x["page"] >= n)
-    own = F.get(F.filter("__met", lambda x, i: (i == 0) & (x["selector"] == F.col("__first"))), 0)
-    others = F.filter("__met", lambda x: x["selector"].isin(*zones.CONTENTS))
+    own = F.get(F.filter(met, lambda x, i: (i == 0) & (x["selector"] == first)), 0)
+    others = F.filter(met, lambda x: x["selector"].isin(*zones.CONTENTS))
     first_pass = F.get(F.filter(others, lambda x: long(x, FIRST_PASS) & (x["alike"] < OTHER)), 0)["selector"]
     second_pass = F.get(F.filter(others, lambda x: long(x, LEAST) & near(x["home_place"]) & (x["alike"] < OTHER_TITLED)), 0)["selector"]
     good = own.isNull() | ~long(own, LEAST) | (own["alike"] < TITLED) | near(own["place"])
     marked = F.when(F.coalesce(comment_area(F.col("html")), comment_area(F.col("home"))).isNotNull(), COMMENTS)
-    chosen = F.when(F.col("needle").isNull(), None).when(F.col("__first").isNull(), marked).when(good, F.col("__first")).otherwise(F.coalesce(first_pass, second_pass, "__first"))
-    return found.withColumn("selector", chosen).drop("__first", "__met")
+    chosen = F.when(F.col("needle").isNull(), None).when(first.isNull(), marked).when(good, first).otherwise(F.coalesce(first_pass, second_pass, first))
+    return found.withColumn("selector", chosen).drop("__met")
 
 
 def block_html(html: Column, selector: Column) -> Column:
@@ -108,16 +108,19 @@ def anchored_text(html: Column, anchor: Column) -> Column:
     text = F.regexp_replace(section["text"], "chevron_right", "\n")
     for icon in ICONS:
         text = F.regexp_replace(text, rf"(?i)\b{icon}\b", "")
-    rest = []
-    for pattern in PLACES:
-        name = F.regexp_extract(text, pattern, 0)
-        at = F.when(name != "", F.position(name, text) - 1)
-        tail = F.regexp_replace(F.substring(text, at + 1, F.length(text)), r"^\s+|\s+$", "")
-        rest.append(F.when((at > 50) & (at <= 1200) & (F.length(tail) > 200), tail))
-    plain = pages_html.normal_text(F.coalesce(*rest, text))
+
+    def below_name(all_: Column) -> Column:
+        rest = []
+        for pattern in PLACES:
+            name = F.regexp_extract(all_, pattern, 0)
+            at = F.when(name != "", F.position(name, all_) - 1)
+            tail = F.regexp_replace(F.substring(all_, at + 1, F.length(all_)), r"^\s+|\s+$", "")
+            rest.append(F.when((at > 50) & (at <= 1200) & (F.length(tail) > 200), tail))
+        return F.coalesce(*rest, all_)
+
     bare = F.regexp_replace(F.regexp_replace(html, r"(?i)</?\s*(h[1-6]|p|li|div|section|article|br|tr|td|th)\b[^>]*>", "\n"), "<[^>]*>", " ")
-    plain = F.when(plain == "", pages_html.normal_text(bare)).otherwise(plain)
-    return F.when(section["found"], F.concat(F.lit("[Extracted from anchor #"), anchor, F.lit("]\n\n"), plain)).otherwise(plain)
+    plain = pages_html.once(pages_html.normal_text(pages_html.once(text, below_name)), lambda t: F.when(t == "", pages_html.normal_text(bare)).otherwise(t))
+    return F.concat(F.when(section["found"], F.concat(F.lit("[Extracted from anchor #"), anchor, F.lit("]\n\n"))).otherwise(""), plain)
 
 
 def _prefixes(url: Column) -> Column:
