@@ -87,6 +87,57 @@ m AS (SELECT p.page_id, max_by(rh || rp, length(rh || rp)) AS rule, max_by(verdi
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m ON m.page_id = p.page_id
 """
 
+SPELLING = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n, hex(encode(doc_id || ':' || run)) AS x FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_concat([4294967295], list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8)), 4294967295) AS h
+  FROM counted, crc),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS s FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.s = b.s AND a.word <> b.word
+  UNION SELECT cut.word, words.word, words.n FROM cut JOIN words ON cut.s = words.word
+  UNION SELECT words.word, cut.word, cut.n FROM cut JOIN words ON cut.s = words.word),
+best AS (SELECT a, count(*) AS n_near, max(n) AS most FROM pairs GROUP BY a),
+forms AS (SELECT a AS word, min(b) AS form, max(p.n) AS form_n FROM pairs p JOIN best USING (a) JOIN words w ON w.word = p.a WHERE p.n = most AND p.n >= 10 * w.n GROUP BY a),
+chain AS (SELECT word, form AS upto FROM forms UNION SELECT chain.word, forms.form FROM chain JOIN forms ON forms.word = chain.upto),
+roots AS (SELECT word, upto AS root FROM chain WHERE upto NOT IN (SELECT word FROM forms))
+SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, form, form_n, coalesce(root, w.word) AS root
+FROM words w LEFT JOIN best ON best.a = w.word LEFT JOIN forms ON forms.word = w.word LEFT JOIN roots ON roots.word = w.word
+"""
+
+
+def _clusters(k: int = 16, rounds: int = 3) -> str:
+    steps = [f"""
+WITH kept AS (
+  SELECT vec_id, list_transform(e, lambda x: floor(64 * x)::BIGINT) AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+  WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+m0 AS (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1)::INT AS c, v AS m FROM kept ORDER BY c LIMIT {k})"""]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""d{i} AS (SELECT vec_id, v, c, m, list_sum(list_transform(range(1, 65), lambda j: (v[j] - m[j]) * (v[j] - m[j])))::BIGINT AS distance FROM kept, m{i}),
+a{i} AS (SELECT * FROM d{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, c) = 1)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""s{i} AS (SELECT c, j, floor(sum(v[j]) / count(*))::BIGINT AS x FROM a{i}, range(1, 65) AS r(j) GROUP BY c, j),
+m{i + 1} AS (SELECT m{i}.c, coalesce(x, m) AS m FROM m{i} LEFT JOIN (SELECT c, list(x ORDER BY j) AS x FROM s{i} GROUP BY c) s ON s.c = m{i}.c)"""
+            )
+    return ",\n".join(steps) + f"""
+SELECT vec_id, c AS cluster, distance, (sum(distance) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds}
+"""
+
+
+CLUSTERS = _clusters()
+
 ORACLES: dict[str, str] = {
     "op2_chat_format": CHATS,
     "op4_line_dedup": LINES,
@@ -94,4 +145,6 @@ ORACLES: dict[str, str] = {
     "op8_near_dedup": NEAR,
     "op9_substring_dedup": REPEATS,
     "op10_url_filter": URLS,
+    "op11_spelling": SPELLING,
+    "op12_clusters": CLUSTERS,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.llm import oracles
-from quorumlake.llm.shared import read_table, word_count
+from quorumlake.llm.shared import read_table, shared_folder, word_count
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +85,28 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorumlake.llm.spelling import spelling_variants
+
+    return spelling_variants(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorumlake.llm.ball_tree import cluster
+
+    return cluster(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quorumlake.llm.token_files import checksums, write_ids
+
+    path = shared_folder(spark)
+    write_ids(read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), path, end_id=2)
+    return checksums(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_chat_format": op2_chat_format,
@@ -96,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_spelling": op11_spelling,
+    "op12_clusters": op12_clusters,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLES: dict[str, str] = {k: v for k, v in oracles.ORACLES.items() if k in QUERIES}

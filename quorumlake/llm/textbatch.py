@@ -144,6 +144,17 @@ def words(texts: Texts, rule: WordRule) -> Words:
     return Words(h, np.searchsorted(start, texts.offsets).astype(np.int64), start, end)
 
 
+def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes start to end of each span."""
+    power, inverse = _powers_of_seed(len(b))
+    sums = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
+    h = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        h[i] = np.int64(digest64(b[start[i] : end[i]].tobytes())).view(np.uint64)
+    return h
+
+
 def roll(h: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
     """Polynomial hash of every k consecutive values, by doubling."""
     done, length, part, size = None, 0, h, 1
