@@ -20,6 +20,8 @@ LEAST_LENGTH, LEAST_COUNT, FORM_TIMES = 7, 2, 10
 SLIP = 31
 #: Bigrams of a word that are joined: an edit touches two of them at most.
 RAREST = 3
+#: Code points of the pieces that a side with an edit is cut into.
+PIECE = 3
 #: Code points of a long text that are looked at together, and distinct words that a task counts before it passes them on.
 CHUNK, HELD = 1 << 20, 200_000
 
@@ -79,31 +81,28 @@ def bigram_ranks(words: DataFrame) -> dict[str, int]:
     return {r.gram: i for i, r in enumerate(grams.groupBy("gram").count().orderBy("count", "gram").collect())}
 
 
-def keys_of(word: str, ranks: dict[str, int]) -> list[set[tuple]]:
+def keys_of(word: str, ranks: dict[str, int]) -> list[set[str]]:
     """Where words one edit from this one look for it: as a word of their length or one longer, and as one shorter.
 
     Two such words share a bigram among the RAREST of either (order: rank, then place) that the edit has left whole.  So
     its places differ by one at most, counted from the start if the edit is behind it, from the end if before it, and
-    all text on its other side is equal.  The edit is in one half of the word too, so the other half is equal.  A key
-    says the place of the bigram and the parts that are equal then: each holds half of the word or more.
+    the bigram with all text on its other side is equal.  The side that has the edit is cut into pieces of PIECE code
+    points, and all but one of these are equal as well.  A key says where the bigram is and what is equal then.
     """
     n, found = len(word), []
     rarest = sorted(range(n - 1), key=lambda i: (ranks[word[i : i + 2]], i))[:RAREST]
-    for shorter in (n, n - 1):
-        half, keys = shorter // 2, set()
+    for longer in (0, 1):  # by so much is the word longer than those that it is to meet
+        keys = set()
         for p in rarest:
-            q = n - p
-            keys.add((shorter, p, word[: max(half, p + 2)]))
-            keys.add((shorter, -q, word[n - max(shorter - half, q) :]))
-            if p + 2 <= half:
-                keys.add((shorter, p, word[: p + 2], word[n - shorter + half :]))
-            if shorter - q >= half:
-                keys.add((shorter, -q, word[:half], word[p:]))
+            for side, equal, rest in ((0, word[: p + 2], word[p + 2 :]), (1, word[p:], word[:p])):
+                size = len(rest) - longer
+                for i in range(0, max(size, 0) + (size == 0), PIECE):
+                    keys.add(f"{side} {n - longer} {i} {len(equal)} {equal}{rest[:i]}{rest[min(i + PIECE, size) + longer :]}")
         found.append(keys)
     return found
 
 
-def near_pairs(words: DataFrame) -> DataFrame:
+def near_pairs(words: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b, n_a, n_b: every two words that differ by exactly one inserted, deleted or replaced code point, once."""
     ranks = words.sparkSession.sparkContext.broadcast(bigram_ranks(words))
 
@@ -114,13 +113,13 @@ def near_pairs(words: DataFrame) -> DataFrame:
                 key, longer, at = [], [], []
                 for i, word in enumerate(part.column(0).to_pylist()):
                     for role, keys in enumerate(keys_of(word, ranks.value)):
-                        key += [xxhash.xxh3_64_intdigest(repr(k)) - (1 << 63) for k in keys]
+                        key += [xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in keys]
                         longer += [role > 0] * len(keys)
                         at += [i] * len(keys)
                 rows = part.take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(longer, pa.bool_()), rows.column(0), rows.column(1)], names=["key", "longer", "word", "n"])
 
-    rows = words.select("word", "n").mapInArrow(run, "key long, longer boolean, word string, n long")
+    rows = scratch.keep(words.select("word", "n").mapInArrow(run, "key long, longer boolean, word string, n long"))
     one = rows.where(~F.col("longer")).select("key", F.col("word").alias("a"), F.col("n").alias("n_a"))
     two = rows.select("key", "longer", F.col("word").alias("b"), F.col("n").alias("n_b"))
     met = one.join(two, "key").where((F.col("longer") | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
@@ -145,7 +144,7 @@ def spelling_variants(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     with Scratch(docs.sparkSession) as scratch:
         words = scratch.keep(count_words(docs, text))
-        pairs = scratch.keep(near_pairs(words))
+        pairs = scratch.keep(near_pairs(words, scratch))
         ways = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("n_b").alias("n_other")).union(pairs.select("b", "a", "n_a"))
         best = F.min(F.struct((-F.col("n_other")).alias("less"), F.col("near")))
         near = ways.groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
