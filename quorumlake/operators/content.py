@@ -123,10 +123,16 @@ def anchored_text(html: Column, anchor: Column) -> Column:
     return F.concat(F.when(section["found"], F.concat(F.lit("[Extracted from anchor #"), anchor, F.lit("]\n\n"))).otherwise(""), plain)
 
 
-def _prefixes(url: Column) -> Column:
-    """All beginnings of a url behind its host, so that a prefix join is one on equality."""
-    start = F.length(F.regexp_extract(url, "^[^:]+://[^/?#]*", 0))
-    return F.transform(F.sequence(F.greatest(start, F.lit(1)), F.greatest(F.length(url), F.lit(1))), lambda n: F.substring(url, F.lit(1), n))
+def _prefixes(url: Column, lengths: Column) -> Column:
+    """The beginnings of a url, of the given lengths, behind its host: a prefix join is then one on equality."""
+    start = F.greatest(F.length(F.regexp_extract(url, "^[^:]+://[^/?#]*", 0)), F.lit(1))
+    return F.transform(F.filter(lengths, lambda n: (n >= start) & (n <= F.length(url))), lambda n: F.substring(url, F.lit(1), n))
+
+
+def _with_lengths(rows: DataFrame, prefixes: DataFrame, column: str) -> DataFrame:
+    """rows with the lengths that prefixes have, which are as many as the longest address has characters at most."""
+    lengths = prefixes.agg(F.sort_array(F.collect_set(F.length(column))).alias("lengths"))
+    return rows.crossJoin(F.broadcast(lengths))  # one row
 
 
 def _root(url: Column) -> Column:
@@ -141,11 +147,13 @@ def compact_menu(menu: DataFrame, related: DataFrame) -> DataFrame:
     """
     menu = menu.select("entity_id", "url").distinct()
     plain = menu.where(~F.endswith("url", F.lit("*")) & ~_root(F.col("url")))
-    below = plain.select("entity_id", F.explode(_prefixes(F.col("url"))).alias("prefix")).where(F.endswith("prefix", F.lit("/"))).select("entity_id", F.regexp_replace("prefix", "/$", "").alias("url")).distinct()
-    used = related.select("entity_id", F.explode(_prefixes(F.col("url"))).alias("url")).distinct()
+    slashes = F.transform(F.sequence(F.lit(1), F.greatest(F.length("url"), F.lit(1))), lambda i: F.when(F.substring(F.col("url"), i, F.lit(1)) == "/", i))
+    below = plain.select("entity_id", F.explode(_prefixes(F.col("url"), F.array_compact(slashes))).alias("prefix")).select("entity_id", F.regexp_replace("prefix", "/$", "").alias("url")).distinct()
+    used = _with_lengths(related, below, "url").select("entity_id", F.explode(_prefixes(F.col("url"), F.col("lengths"))).alias("url")).distinct()
     made = plain.join(below, ["entity_id", "url"], "left_semi").join(used, ["entity_id", "url"], "left_anti").withColumn("url", F.concat("url", F.lit("*")))
     cards = menu.where(F.endswith("url", F.lit("*"))).union(made).distinct()
-    covered = plain.withColumn("prefix", F.explode(_prefixes(F.col("url")))).join(cards.select("entity_id", F.expr("left(url, length(url) - 1)").alias("prefix")), ["entity_id", "prefix"], "left_semi").select("entity_id", "url")
+    begins = cards.select("entity_id", F.expr("left(url, length(url) - 1)").alias("prefix"))
+    covered = _with_lengths(plain, begins, "prefix").withColumn("prefix", F.explode(_prefixes(F.col("url"), F.col("lengths")))).join(begins, ["entity_id", "prefix"], "left_semi").select("entity_id", "url")
     return menu.where(~F.endswith("url", F.lit("*"))).join(covered.distinct(), ["entity_id", "url"], "left_anti").union(cards)
 
 
@@ -161,7 +169,7 @@ def cleanup(history: DataFrame, menu: DataFrame, hosts: DataFrame) -> DataFrame:
     listed = menu.where(~F.endswith("url", F.lit("*"))).select("entity_id", "url").distinct()
     cards = menu.where(F.endswith("url", F.lit("*"))).select("entity_id", F.expr("left(url, length(url) - 1)").alias("prefix")).distinct()
     addresses = rows.select("entity_id", "url").distinct()
-    carded = addresses.where(~_root(F.col("url"))).withColumn("prefix", F.explode(_prefixes(F.col("url")))).join(cards, ["entity_id", "prefix"], "left_semi").select("entity_id", "url")
+    carded = _with_lengths(addresses.where(~_root(F.col("url"))), cards, "prefix").withColumn("prefix", F.explode(_prefixes(F.col("url"), F.col("lengths")))).join(cards, ["entity_id", "prefix"], "left_semi").select("entity_id", "url")
     in_menu = listed.union(carded).distinct().withColumn("in_menu", F.lit(True))
     first = rows.where("status = 'unrelated'").groupBy("entity_id", "url").agg(F.min("position").alias("moved"))
     rows = rows.join(in_menu, ["entity_id", "url"], "left").join(first, ["entity_id", "url"], "left")

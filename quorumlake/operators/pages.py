@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.functions import urls
+from quorumlake.operators.keyword_hits import keyword_hits
 
 #: Selectors of headers and footers, the likeliest first.
 HEADERS = ("header", "[role='banner']", "#header", "#site-header", "#masthead", ".site-header", ".header", ".masthead", "#page-header", ".page-header")
@@ -58,13 +59,12 @@ def domain_keywords(domains: DataFrame) -> DataFrame:
 def domain_scores(pages: DataFrame, keywords: DataFrame) -> DataFrame:
     """Scores of each page in each domain of which it has a keyword, ranked.
 
-    pages: page_id, url, title, headers (one text), body.  The (domain, keyword) table is a configuration: short as it is
-    by nature Spark broadcasts it and nothing is shuffled but the hits' sums; one of any size gives the same rows.
+    pages: page_id, url, title, headers (one text), body.  All keywords are looked for in one pass over each page (see
+    keyword_hits); what is found meets the (domain, keyword) table on the keyword, and nothing else is shuffled.
     """
     low = pages.select("page_id", *(F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("url", "title", "headers")), F.lower(F.substring(F.coalesce("body", F.lit("")), 1, 3000)).alias("body"))
-    hit = {c: F.contains(F.col(c), F.col("keyword")).cast("int") for c in ZONE_WEIGHTS}
-    met = low.join(keywords, F.greatest(*hit.values()) == 1)
-    sums = met.groupBy("page_id", "domain_id", "type").agg(F.count("*").alias("raw"), *(F.sum(h).alias(f"{c}_hits") for c, h in hit.items()))
+    met = keyword_hits(low, "page_id", list(ZONE_WEIGHTS), keywords).join(keywords, "keyword")
+    sums = met.groupBy("page_id", "domain_id", "type").agg(F.count("*").alias("raw"), *(F.count_if(c).alias(f"{c}_hits") for c in ZONE_WEIGHTS))
     match = F.col("raw") + sum((F.col(f"{c}_hits") * w for c, w in ZONE_WEIGHTS.items()), F.lit(0.0))
     scored = sums.withColumn("match", F.round(match, 6)).withColumn("weighted", F.col("match") + F.when(F.col("type") == "general", GENERAL_BONUS).otherwise(0.0))
     order = Window.partitionBy("page_id").orderBy(F.desc("weighted"), F.desc("raw"), "domain_id")

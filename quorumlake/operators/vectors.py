@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorumlake.operators.vector_index import exact
+
 
 def document_key(entity: Column, domains: Column, kind: Column, file: Column) -> Column:
     """Prefix of a document's chunk ids."""
@@ -34,17 +36,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """the k chunks most like each query, ties by id; exact.
+    """query_id, chunk_id, score, rank: the k chunks most like each query, ties by id; exact, for any number of queries.
 
-    queries: query_id, vector: a stated set of few, checked here, that every task gets; chunks: chunk_id, vector.  Each task keeps k rows a query before the shuffle.
+    queries: query_id, vector; chunks: chunk_id, vector.  See vector_index, which has an index as well.
     """
-    n = queries.limit(10_001).count()
-    if n > 10_000:
-        raise ValueError("more than 10,000 queries: ask in parts")
-    met = chunks.join(F.broadcast(queries.withColumnRenamed("vector", "__q")), F.lit(True))
-    scored = met.withColumn("score", F.floor(cosine(F.col("vector"), F.col("__q")) * 1e6 + 0.5) / 1e6)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("__q", "vector")
+    return exact(queries, chunks, k)
 
 
 def renamed(chunks: DataFrame, old: str, new: str) -> DataFrame:
