@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from quorumlake.operators import pages as page_ops
 
@@ -60,6 +61,49 @@ def due_recrawls(records: DataFrame, days: float = 3) -> DataFrame:
     return timed.groupBy("entity_id", "url").applyInPandasWithState(visit, "entity_id long, url string, last_ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class _Visits(StatefulProcessor):
+    """State of one (entity_id, url): the time of its last visit, forgotten when it is due again."""
+
+    def __init__(self, millis: int):
+        self.millis = millis
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        found = sorted(int(x) for b in rows for x in b["ms"])
+        last, out = (self.last.get()[0] if self.last.exists() else None), []
+        for ms in found:
+            if last is None or ms >= last + self.millis:
+                out.append((*key, ms, "first" if last is None else "again"))
+                last = ms
+        if out:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.last.update((last,))
+            self.handle.registerTimer(last + self.millis)
+        yield pd.DataFrame(out, columns=["entity_id", "url", "ms", "kind"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame({"entity_id": [key[0]], "url": [key[1]], "ms": [expiredTimerInfo.getExpiryTimeInMs()], "kind": ["due"]})
+
+    def close(self) -> None:
+        pass
+
+
+def kept_visits(pages: DataFrame, days: float = 3, late: str = "1 hour") -> DataFrame:
+    """entity_id, url, ms, kind: first visits, visits again once the time is up, and when an address is due.
+
+    pages: entity_id, url, ts.  Records of an address within ``days`` of its last visit are no visits.  An address's state
+    is one number and goes when event time has passed its last visit by ``days``, so state is bounded by the addresses
+    of that time.  Needs the RocksDB state store.
+    """
+    rows = pages.withWatermark("ts", late).select("entity_id", "url", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("entity_id", "url").transformWithStateInPandas(_Visits(int(days * 86_400_000)), "entity_id long, url string, ms long, kind string", "append", "EventTime")
+
+
 def upsert_chunks(target: str, key: str) -> Callable[[DataFrame, int], None]:
     """A sink for foreachBatch: each batch is a version of its own keys, written beside the earlier ones.
 
