@@ -314,10 +314,11 @@ def checksums(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
             columns = [pa.array(c, t) for c, t in zip((doc, start, piece, last, n, crc), (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "piece", "last", "n_tokens", "ids_crc32"])
 
-    read = blocks.select(*_READ).mapInArrow(run, "doc_id long, start long, piece int, last boolean, n_tokens long, ids_crc32 long")
+    digests = lambda some: some.select(*_READ).mapInArrow(run, "doc_id long, start long, piece int, last boolean, n_tokens long, ids_crc32 long")
     alone = (F.col("piece") == 0) & F.col("last")
-    whole = read.where(alone).select("doc_id", "start", "n_tokens", "ids_crc32")
-    pieces = read.where(~alone).groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("piece", "n_tokens", "ids_crc32"))).alias("pieces"))
+    whole = digests(blocks).where(alone).select("doc_id", "start", "n_tokens", "ids_crc32")
+    long_ = blocks.where(F.exists("pieces", lambda p: p > 0) | F.exists("last", lambda x: ~x))  # few, so few are decoded again
+    pieces = digests(long_).where(~alone).groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("piece", "n_tokens", "ids_crc32"))).alias("pieces"))
     return whole.union(pieces.mapInArrow(_combined, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
