@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -38,10 +38,10 @@ class Template:
         return re.compile("|".join(map(re.escape, (self.escape, self.open, self.close, self.end))))
 
     def escaped(self, text: str) -> str:
-        return self._controls().sub(lambda m: self.escape + m[0], text)
+        return _replaced(self._controls(), lambda m: self.escape + m[0], text)
 
     def unescaped(self, text: str) -> str:
-        return re.sub(re.escape(self.escape) + "(.)", r"\1", text, flags=re.DOTALL)
+        return _replaced(re.compile(re.escape(self.escape) + "(.)", re.DOTALL), lambda m: m[1], text)
 
     def name(self, role: str) -> str:
         """Names that aren't in the template stand for themselves, behind a mark that no listed name has."""
@@ -56,16 +56,45 @@ class Template:
 
     def turns(self, formatted: str) -> Iterator[tuple[str, str]]:
         """Reads role and text of each turn back from formatted text, by its control strings alone."""
-        esc = re.escape(self.escape)
-        body = f"((?:{esc}.|(?!{esc}|{re.escape(self.close)}|{re.escape(self.open)}|{re.escape(self.end)}).)*)"
-        turn = re.compile(re.escape(self.open) + body + re.escape(self.close) + body + re.escape(self.end + self.after), re.DOTALL)
-        at = 0
+        controls, at = self._controls(), 0
         while at < len(formatted):
-            m = turn.match(formatted, at)
-            if not m:
+            if not formatted.startswith(self.open, at):
                 raise ValueError(f"no turn at {at}")
-            yield self.role(m[1]), self.unescaped(m[2])
-            at = m.end()
+            name = at + len(self.open)
+            text = self._until(self.close, controls, formatted, name)
+            end = self._until(self.end, controls, formatted, text + len(self.close))
+            if not formatted.startswith(self.end + self.after, end):
+                raise ValueError(f"no turn at {at}")
+            yield self.role(formatted[name:text]), self.unescaped(formatted[text + len(self.close) : end])
+            at = end + len(self.end + self.after)
+
+    def _until(self, wanted: str, controls: re.Pattern, formatted: str, at: int) -> int:
+        """Where the next control string stands that no escape character is before; it has to be the wanted one."""
+        while m := controls.search(formatted, at):
+            if m[0] == wanted:
+                return m.start()
+            if m[0] != self.escape:
+                break
+            at = m.end() + 1
+        raise ValueError(f"no {wanted!r} after {at}")
+
+
+#: Pieces of a text that are held before they are joined.
+PIECES = 1 << 16
+
+
+def _replaced(pattern: re.Pattern, new: Callable[[re.Match], str], text: str) -> str:
+    """As re.sub(), but what it holds beside the text is bounded, however many matches there are."""
+    done, held, at = [], [], 0
+    for m in pattern.finditer(text):
+        held += (text[at : m.start()], new(m))
+        at = m.end()
+        if len(held) >= PIECES:
+            done.append("".join(held))
+            held = []
+    if not at:
+        return text
+    return "".join([*done, *held, text[at:]])
 
 
 def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame:
