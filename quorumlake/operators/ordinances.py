@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.functions.text import keyword_pattern
+from quorumlake.operators.keyword_hits import keyword_hits
 
 #: Names of states and their abbreviations.
 STATES = {
@@ -63,14 +64,31 @@ def count(ordinances: DataFrame, what: Search) -> DataFrame:
     return ordinances.where(what.condition()).agg(F.count("*").alias("n"))
 
 
+def variants(state: Column) -> Column:
+    """A state's name and its abbreviation, in capitals."""
+    pairs = [(n.upper(), a) for n, a in STATES.items()]
+    up = F.upper(F.trim(state))
+    return F.array_distinct(F.array_compact(F.array(up, *(F.when(up == n, F.lit(a)).when(up == a, F.lit(n)) for n, a in pairs))))
+
+
+def places_of(entities: DataFrame, places: DataFrame) -> DataFrame:
+    """entity_id, s, c: the places (s, c: state in capitals, city in lower case) of each entity, as a search finds them (B07):
+    a state by any of its names, a city that the entity's is a part of.  Cities meet by one automaton, then on equality."""
+    wanted = entities.where(F.length("city") > 0).select("entity_id", F.explode(variants(F.col("state"))).alias("s"), F.lower("city").alias("part"))
+    cities = places.where("c IS NOT NULL").select("c").distinct()
+    parts = keyword_hits(cities.withColumn("text", F.col("c")), "c", ["text"], wanted.select(F.col("part").alias("keyword"))).select("c", F.col("keyword").alias("part"))
+    return wanted.join(parts, "part").select("entity_id", "s", "c").distinct()
+
+
 def counts_for_entities(entities: DataFrame, ordinances: DataFrame, what: Search) -> DataFrame:
-    """Matches of each entity's place, 0 where there are none.
+    """Matches of each entity's place, 0 where there are none; entity_id is unique.
 
-    One query counts for all entities: ordinances are counted by state and city first, and those few rows are joined.
+    One query counts for all entities: ordinances are counted by state and city first, and those few rows are joined to
+    the entities whose place they are, by the same tests that a search for one of them has.
     """
     per_place = ordinances.where(what.condition()).groupBy(F.upper("state").alias("s"), F.lower("city").alias("c")).agg(F.count("*").alias("n"))
-    joined = entities.join(per_place, (F.upper(entities["state"]) == F.col("s")) & (F.lower(entities["city"]) == F.col("c")), "left")
-    return joined.select(*entities.columns, F.coalesce("n", F.lit(0)).alias("n"))
+    counts = places_of(entities, per_place).join(per_place, ["s", "c"]).groupBy("entity_id").agg(F.sum("n").alias("n"))
+    return entities.join(counts, "entity_id", "left").select(*entities.columns, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def synthetic_url(state: Column, county: Column, city: Column, header: Column, content: Column) -> Column:

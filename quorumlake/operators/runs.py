@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quorumlake.functions.text import keyword_pattern
 from quorumlake.operators import ordinances as found
 from quorumlake.operators import report, rules, scoring, upkeep, versions
-from quorumlake.operators.keyword_hits import keyword_hits
 from quorumlake.operators.lookup import overlapping, word_set
 from quorumlake.operators.matrix import question_matrix
 from quorumlake.providers import models
@@ -66,14 +65,10 @@ def populate(entities: DataFrame, domains: DataFrame, ordinances: DataFrame, ask
     patterns = {d: keyword_pattern(sorted({r.word for r in rows})) for d, rows in _grouped(words)}  # domains are configuration
     about = F.array_compact(F.array(*(F.when(F.coalesce(F.col("header").rlike(p), F.lit(False)) | F.coalesce(F.col("content").rlike(p), F.lit(False)), F.lit(d)) for d, p in sorted(patterns.items()))))
     rows = ordinances.where("is_substantive").withColumn("domain_id", F.explode(about if patterns else F.array().cast("array<string>")))
-    place = F.struct(F.upper("state").alias("s"), F.lower("city").alias("c"))
-    keyed = rows.select("doc_id", "domain_id", place.alias("place"))
-    wanted = entities.where(F.length("city") > 0).select("entity_id", F.explode(_variants(F.col("state"))).alias("s"), F.lower("city").alias("part"))
-    cities = keyed.select(F.col("place.c").alias("c")).where("c IS NOT NULL").distinct()
-    parts = keyword_hits(cities.withColumn("text", F.col("c")), "c", ["text"], wanted.select(F.col("part").alias("keyword"))).select("c", F.col("keyword").alias("part"))
-    near = wanted.join(parts, "part").select("entity_id", F.struct("s", "c").alias("place")).distinct()
+    keyed = rows.select("doc_id", "domain_id", F.upper("state").alias("s"), F.lower("city").alias("c"))
+    near = found.places_of(entities, keyed)
     first = Window.partitionBy("entity_id", "domain_id").orderBy("doc_id")
-    met = near.join(keyed, "place").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit).drop("place", "nth")
+    met = near.join(keyed, ["s", "c"]).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit).drop("s", "c", "nth")
     texts = ordinances.where(F.length("content") >= least_chars)
     candidates = met.select("doc_id", "domain_id").distinct().join(texts, "doc_id").join(domains.select("domain_id", "name"), "domain_id")
     judged = models.judged(candidates.select("doc_id", "domain_id", "name", "content", "header", "state", "county", "city"), ask)
@@ -90,13 +85,6 @@ def _grouped(words: DataFrame) -> list[tuple[str, list]]:
     return [(d, [r for r in rows if r.domain_id == d]) for d in sorted({r.domain_id for r in rows})]
 
 
-def _variants(state: Column) -> Column:
-    """A state's name and its abbreviation, in capitals."""
-    pairs = [(n.upper(), a) for n, a in found.STATES.items()]
-    up = F.upper(F.trim(state))
-    return F.array_distinct(F.array_compact(F.array(up, *(F.when(up == n, F.lit(a)).when(up == a, F.lit(n)) for n, a in pairs))))
-
-
 Score = Callable[[Column, Column], Column]
 
 

@@ -288,3 +288,34 @@ def stitched(articles: DataFrame, bodies: DataFrame, least: int = 50) -> DataFra
     part = F.concat(F.lit("\n\n=== "), "title", F.lit(" ===\n\n"), "body")
     rows = articles.join(bodies.where(F.length("body") > least), "url").select("page_id", F.struct("position", part.alias("part")).alias("p"))
     return rows.groupBy("page_id").agg(F.count("*").alias("n_articles"), F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["part"]), "").alias("text"))
+
+
+def file_types(records: DataFrame, files: DataFrame, force: bool = False) -> DataFrame:
+    """File types of related and index records by the first bytes of their files.
+
+    records: entity_id, url, status, file, file_type; files: path, content (binary, as Spark's binaryFile gives it).
+    Returns the records with file_type and action: patched, correct, skipped (another status, or a type that is known and
+    not to be forced), missing (no such file) or download (no file yet).  Only the first bytes of a file are shuffled.
+    """
+    head = files.select(F.col("path").alias("file"), F.when(F.decode(F.substring("content", 1, 4), "ISO-8859-1") == "%PDF", "PDF").otherwise("HTML").alias("found"))
+    rows = records.join(head, "file", "left")
+    open_ = F.col("status").isin("related", "index") & (F.lit(force) | F.col("file_type").isNull())
+    action = F.when(~F.coalesce(open_, F.lit(False)), "skipped").when(F.col("file").isNull(), "download").when(F.col("found").isNull(), "missing").when(F.coalesce(F.col("file_type") == F.col("found"), F.lit(False)), "correct").otherwise("patched")
+    rows = rows.withColumn("action", action)
+    return rows.withColumn("file_type", F.when(F.col("action") == "patched", F.col("found")).otherwise(F.col("file_type"))).drop("found")
+
+
+def numbered_everywhere(rows: DataFrame, order: Sequence[Column], folder: str, name: str = "n") -> DataFrame:
+    """Rows numbered from 1 in one order over all of them, without a task that has them all.
+
+    Rows are sorted by ranges and written with their place in their range; the ranges' sizes, a number for each, make the
+    rest.  Ties of the order are numbered in any order, so let it end with a key.
+    """
+    spark = rows.sparkSession
+    at = F.monotonically_increasing_id()  # the range's number, then the place in it
+    rows.orderBy(*order).withColumn("__range", F.shiftright(at, 33)).withColumn("__at", at.bitwiseAND((1 << 33) - 1)).write.parquet(folder)
+    placed = spark.read.parquet(folder)
+    sizes = sorted((r["__range"], r["n"]) for r in placed.groupBy("__range").agg(F.count("*").alias("n")).collect())
+    firsts = [(k, sum(n for _, n in sizes[:i]) + 1) for i, (k, _) in enumerate(sizes)]
+    joined = placed.join(F.broadcast(spark.createDataFrame(firsts, "__range long, __first long")), "__range")
+    return joined.withColumn(name, F.col("__first") + F.col("__at")).drop("__range", "__at", "__first")

@@ -79,3 +79,16 @@ def longest(answers: DataFrame, k: int) -> DataFrame:
     """the k longest answers of a question; Spark keeps k rows a task before it shuffles."""
     order = Window.partitionBy("domain_id", "question_id").orderBy(F.desc(F.length("answer")), "entity_id")
     return answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def reordered(stored: DataFrame, asked: DataFrame) -> DataFrame:
+    """Analyses whose answers aren't in the order of the questions, with the order that they are to have.
+
+    stored: entity_id, domain_id, question_ids (in the order in which they are stored); asked: domain_id, question_id,
+    position.  Answers to questions that are no longer asked go (C16); an analysis without answers is left alone.
+    Returns entity_id, domain_id, question_ids: only what is to be written again.
+    """
+    known = asked.groupBy("domain_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "question_id"))), lambda x: x["question_id"]).alias("asked"))
+    rows = stored.where(F.size("question_ids") > 0).join(known, "domain_id", "left").withColumn("asked", F.coalesce("asked", F.array().cast(stored.schema["question_ids"].dataType)))
+    right = F.filter("asked", lambda q: F.array_contains("question_ids", q))
+    return rows.withColumn("right", right).where(F.col("right") != F.col("question_ids")).select("entity_id", "domain_id", F.col("right").alias("question_ids"))

@@ -53,7 +53,7 @@ def ordinance_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add("""SELECT e.entity_id, e.city, e.state, count(o.doc_id)::BIGINT AS n FROM (SELECT c_custkey AS entity_id, 'src' || (c_custkey % 25) AS city, CASE WHEN c_custkey % 2 = 0 THEN 'EN' ELSE 'de' END AS state FROM customer) e
-LEFT JOIN (SELECT * FROM ordinances WHERE is_substantive AND (regexp_matches(header, '(?i)\\bthe') OR regexp_matches(content, '(?i)\\bthe'))) o ON upper(o.state) = upper(e.state) AND o.city = e.city GROUP BY 1, 2, 3""")
+LEFT JOIN (SELECT * FROM ordinances WHERE is_substantive AND (regexp_matches(header, '(?i)\\bthe') OR regexp_matches(content, '(?i)\\bthe'))) o ON upper(o.state) = upper(e.state) AND contains(lower(o.city), lower(e.city)) GROUP BY 1, 2, 3""")
 def entity_ordinance_counts(spark: SparkSession, d: str) -> DataFrame:
     """One count for each entity, decorrelated."""
     people = t.table(spark, d, "customer").select(F.col("c_custkey").alias("entity_id"), F.concat(F.lit("src"), F.col("c_custkey") % 25).alias("city"), F.when(F.col("c_custkey") % 2 == 0, "EN").otherwise("de").alias("state"))

@@ -151,7 +151,7 @@ def stored_orders(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("s_suppkey") % 4
     rows = t.table(spark, d, "supplier").withColumn("kind", F.when(n == 1, "Town").when(n == 2, "City").when(n == 0, "Village").otherwise("Park")).withColumn("one", F.lit(1))
     rows = upkeep.numbered(rows, ["s_nationkey"], [upkeep.size_rank(F.col("kind")), F.collate("s_name", "UNICODE")])
-    return upkeep.numbered(rows, ["one"], [F.desc("s_name")], "back").select("s_suppkey", "n", "back")
+    return upkeep.numbered_everywhere(rows.drop("one"), [F.desc("s_name"), F.col("s_suppkey")], folders.shared(spark), "back").select("s_suppkey", "n", F.col("back").cast("int").alias("back"))
 
 
 @R.add(f"""WITH {H} SELECT entity_id, count(*)::BIGINT AS n, string_agg(url, ' ' ORDER BY url) AS urls FROM (SELECT DISTINCT entity_id, url FROM log) GROUP BY 1""", common=False)

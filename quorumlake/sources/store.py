@@ -86,6 +86,83 @@ def analyses(spark: SparkSession, root: str, realm_id: str, domain_id: str = "*"
     return keyed.select("entity_id", "domain_id", F.col("overallScore").alias("overall_score"), "pos", F.coalesce("q.id", "q.questionId").alias("question_id"), "q.answer", "q.score", normal(F.col("q.confidence")).alias("confidence"), F.coalesce("q.gap", "q.gapAnalysis").alias("gap"))
 
 
+def entity_ids(spark: SparkSession, root: str, realm_id: str, domain_id: str) -> DataFrame:
+    """The entities that have a folder in a domain, by a listing of its files alone."""
+    files = spark.read.format("binaryFile").load(f"{root}/{realm_id}/{domain_id}/*/*").select("path")
+    return files.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("entity_id")).distinct()
+
+
+def one_of(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """A point read: the row of a key, none if there is none; the comparison reaches the scan."""
+    return rows.where(F.col(key) == value)
+
+
+RULESET = "homePage string, stateCodeApplies boolean, sources array<struct<sourceUrl:string,title:string,type:string,provenance:string,downloadedFilename:string>>"
+PRACTICE = "questionId int, questionText string, bestAnswer string, bestScore double, bestEntity struct<id:string,displayName:string>"
+META = f"domain struct<id:string>, averageScore double, totalMunicipalitiesAnalyzed long, highestScoringEntity struct<id:string,score:double>, bestPractices array<struct<{PRACTICE.replace(' int', ':int').replace(' string', ':string').replace(' double', ':double').replace(' struct', ':struct')}>>"
+
+
+def parsed(documents: DataFrame, schema: str, content: str = "content") -> DataFrame:
+    """Documents whose text is JSON of the schema, as column doc; blank and broken ones are as good as missing."""
+    broken = "__broken"
+    doc = F.from_json(F.col(content), f"{schema}, {broken} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken})
+    rows = documents.where(F.trim(F.regexp_replace(content, r"\s+", " ")) != "").withColumn("doc", doc)
+    return rows.where(F.col("doc").isNotNull() & F.col(f"doc.{broken}").isNull()).withColumn("doc", F.col("doc").dropFields(broken)).drop(content)
+
+
+def rulesets(documents: DataFrame) -> DataFrame:
+    """realm_id, domain_id, entity_id, home_page, state_code, sources of metadata.json; documents as document_tree reads them."""
+    rows = parsed(documents.where("name = 'metadata.json'"), RULESET)
+    return rows.select("realm_id", "domain_id", "entity_id", F.col("doc.homePage").alias("home_page"), F.coalesce("doc.stateCodeApplies", F.lit(False)).alias("state_code"), "doc.sources")
+
+
+def meta_analyses(spark: SparkSession, pattern: str) -> DataFrame:
+    """domain_id, mean_score, n_analysed, best_entity and practices of the meta-analyses that a pattern names."""
+    rows = parsed(spark.read.text(pattern, wholetext=True).withColumnRenamed("value", "content"), META)
+    return rows.select(F.col("doc.domain.id").alias("domain_id"), F.col("doc.averageScore").alias("mean_score"), F.col("doc.totalMunicipalitiesAnalyzed").alias("n_analysed"), F.col("doc.highestScoringEntity.id").alias("best_entity"), F.col("doc.bestPractices").alias("practices"))
+
+
+def additional_sources(downloads: DataFrame) -> DataFrame:
+    """entity_id, domain_id, file, content: a row for each related download and domain that it belongs to.
+
+    Rows and not a list, so an entity may have any number; what needs them in one text orders and joins its own few.
+    """
+    related = downloads.where("status = 'related' AND content IS NOT NULL")
+    return related.select("entity_id", F.explode(F.array_distinct("domain_ids")).alias("domain_id"), "file", "content")
+
+
+def source_map(spark: SparkSession, path: str) -> DataFrame:
+    """entity_id, position, url, title of sources.json, an object of entities with arrays of sources."""
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<struct<url:string,title:string>>>").alias("m"))
+    return rows.select(F.explode("m").alias("entity_id", "s")).select("entity_id", F.posexplode("s").alias("position", "x")).select("entity_id", "position", "x.url", "x.title")
+
+
+def source_titles(wanted: DataFrame, sources: DataFrame) -> DataFrame:
+    """entity_id, url, title: of several sources of an address the first counts; null if there is none."""
+    first = sources.groupBy("entity_id", "url").agg(F.min_by(F.struct("title"), "position").alias("r")).select("entity_id", "url", "r.title")
+    return wanted.join(first, ["entity_id", "url"], "left")
+
+
+def save_websites(hosts: DataFrame, root: str, realm_id: str) -> None:
+    """The hosts of each entity as its websites.json, in place of the last one.
+
+    hosts: entity_id, host, header, footer, content (selectors).  A document is a version (see document_tree), so a write
+    that fails leaves the last one.
+    """
+    record = F.struct(F.col("host").alias("hostname"), F.col("header").alias("activeHeaderSelector"), F.col("footer").alias("activeFooterSelector"), F.col("content").alias("contentSelector"))
+    by_host = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("host").alias("key"), record.alias("value")))))
+    docs = hosts.groupBy("entity_id").agg(F.to_json(F.struct(by_host.alias("hosts"))).alias("content"))
+    rows = docs.select(F.lit(realm_id).alias("realm_id"), F.lit("_websites").alias("domain_id"), F.col("entity_id").cast("string").alias("entity_id"), F.lit("websites.json").alias("name"), "content")
+    rows.write.format("document_tree").option("path", root).mode("append").save()
+
+
+def websites(documents: DataFrame) -> DataFrame:
+    """entity_id, host, header, footer, content of each websites.json."""
+    rows = parsed(documents.where("name = 'websites.json'"), "hosts map<string,struct<hostname:string,activeHeaderSelector:string,activeFooterSelector:string,contentSelector:string>>")
+    each = rows.select("entity_id", F.explode("doc.hosts").alias("host", "x"))
+    return each.select("entity_id", "host", F.col("x.activeHeaderSelector").alias("header"), F.col("x.activeFooterSelector").alias("footer"), F.col("x.contentSelector").alias("content"))
+
+
 def normal(confidence: Column) -> Column:
     return F.when(confidence > 1, confidence / 100).otherwise(confidence)
 
@@ -107,8 +184,8 @@ def file_stats(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def section_index(spark: SparkSession, path: str) -> DataFrame:
-    """No quoting; blank lines are skipped."""
-    return spark.read.schema("entity_id string, domain_id string, section string, url string").option("header", True).option("quote", "").csv(path)
+    """No quoting; blank lines are skipped.  url is the section's own address, source_url that of its document."""
+    return spark.read.schema("entity_id string, domain_id string, source_url string, section string, anchor string, url string").option("header", True).option("quote", "").csv(path)
 
 
 def sheet(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:

@@ -25,7 +25,7 @@ def root(tmp_path):
     put("oz/D1/E1/analysis.json", {"entityId": "E1", "domainId": "D1", "questions": [{"id": "Q1", "score": 0.8, "answer": "a", "confidence": 0.9}, {"questionId": "Q2", "score": 0.6, "confidence": 80}]})
     put("oz/D2/E2/analysis.json", {"municipality": {"id": "E2"}, "questions": []})
     put("oz/D1/E1/statute.txt", "Text\nof it")
-    put("index.csv", "entity,domain,section,url\nE1,D1,12.1,https://x\n\nE1,D1,\"3\",https://y\n")
+    put("index.csv", "entity,domain,source,section,anchor,url\nE1,D1,https://s,12.1,a1,https://x\n\nE1,D1,https://s,\"3\",a2,https://y\n")
     put("sheet.csv", 'Name,Note\n"One, or so","said ""no"""\nTwo,\n')
     put("urls.txt", "# note\nhttps://a\n\n https://b \n")
     put("map.json", {"type": "FeatureCollection", "features": [{"properties": {"NAME": "One"}, "geometry": {"type": "Point"}}]})
