@@ -52,7 +52,7 @@ def slug_title(url: Column) -> Column:
     bare = F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(-1)), urls.hostname(url)), "[-_]+", " ")
     # a word begins where a letter or digit follows what is neither
     words = F.regexp_extract_all(bare, F.lit(r"([A-Za-z0-9_]+|[^A-Za-z0-9_]+)"), F.lit(1))
-    return F.when(urls.hostname(url) == "", "").otherwise(F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.expr("''"), F.substring(w, 2, 1_000_000))), ""))
+    return F.when(urls.hostname(url) == "", "").otherwise(F.array_join(F.transform(words, lambda w: F.when(w.rlike("^[a-z]"), F.concat(F.upper(F.substring(w, 1, 1)), F.expr("''"), F.substring(w, 2, 1_000_000))).otherwise(w)), ""))
 
 
 def document_title(cached: Column, given: Column, existing: Column, url: Column) -> Column:
