@@ -7,6 +7,8 @@ from collections.abc import Collection
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quorumlake.functions.titles import entities
+
 #: Forms of a description, and of a full title, that begin with a number and go on with a title.
 DESCRIPTIONS = (
     r"^(§\s*[\d-]+[A-Z]*)\s*(?:\[[^\]]+\])?\s*([^;.]+)(?:[;.]|$)",
@@ -24,10 +26,8 @@ NEEDLE = 4
 
 
 def _plain(x: Column) -> Column:
-    """Without entities of signs that statutes use, blanks at the ends and no-break spaces."""
-    for entity, sign in (("&nbsp;", " "), ("\u00a0", " "), ("&sect;", "§"), ("&#167;", "§"), ("&quot;", '"'), ("&#39;", "'"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(sign))
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    """Entities as their characters, no-break spaces as blanks, none of these at the ends."""
+    return F.regexp_replace(F.replace(entities(x), F.lit("\u00a0"), F.lit(" ")), r"^\s+|\s+$", "")
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -35,9 +35,17 @@ def _attribute(tag: Column, name: str) -> Column:
 
 
 def _inner(html: Column, cls: str) -> Column:
-    """Text of the first element of a class."""
-    found = F.regexp_extract(html, rf"(?is)<(\w+)\b[^>]*\bclass=[\"'](?:[^\"']*\s)?{cls}(?:\s[^\"']*)?[\"'][^>]*>(.*?)</\1>", 2)
-    return _plain(F.regexp_replace(found, "<[^>]*>", ""))
+    """Text of the first element of a class, up to its own closing tag: elements of its kind may stand in it."""
+    begin = rf"(?is)<(\w+)\b[^>]*\bclass=[\"'](?:[^\"']*\s)?{cls}(?:\s[^\"']*)?[\"'][^>]*>"
+    tag, rest = F.regexp_extract(html, begin, 1), F.regexp_extract(html, begin + "(.*)$", 2)
+    # pieces that begin with a tag of the kind, but for the first; the element ends where as many have closed as opened
+    pieces = F.split(rest, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s/>])")))
+    start = F.struct(F.lit(1).alias("open"), F.lit(0).alias("n"))
+    more = lambda p: F.when(F.startswith(p, F.lit("</")), -1).when(p.rlike("^<[A-Za-z]") & F.startswith(F.lower(p), F.concat(F.lit("<"), F.lower(tag))), 1).otherwise(0)
+    step = lambda s, p: F.when(s["open"] == 0, s).otherwise(F.struct((s["open"] + more(p)).alias("open"), (s["n"] + 1).alias("n")))
+    end = F.aggregate(pieces, start, step)
+    inner = F.array_join(F.slice(pieces, F.lit(1), F.when(end["open"] == 0, end["n"] - 1).otherwise(end["n"])), "")
+    return _plain(F.regexp_replace(F.when(tag == "", "").otherwise(inner), "<[^>]*>", ""))
 
 
 def _first(x: Column, patterns: Collection[str], group: int) -> Column:

@@ -14,15 +14,19 @@ ENTITIES = (("&nbsp;", " "), ("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("
 
 
 def plain(text: Column) -> Column:
-    """Without tags; entities by name and by number are read, white space is one blank."""
-    text = F.regexp_replace(text, r"(?s)<!--.*?-->|<[^>]*>", "")
+    """Without tags; entities are read, white space is one blank."""
+    return F.trim(F.regexp_replace(entities(F.regexp_replace(text, r"(?s)<!--.*?-->|<[^>]*>", "")), r"[\s\u00a0]+", " "))
+
+
+def entities(text: Column) -> Column:
+    """Entities by number, and by the names of ENTITIES, as their characters."""
     parts = F.split(text, r"(?=&#)")
     number = lambda p: F.when(p.rlike(r"^&#[xX]"), F.conv(F.regexp_extract(p, r"^&#[xX]([0-9A-Fa-f]{1,6});", 1), 16, 10).cast("int")).otherwise(F.regexp_extract(p, r"^&#(\d{1,7});", 1).try_cast("int"))
     sign = lambda p: F.when(number(p).between(1, 0x10FFFF), F.concat(_character(number(p)), F.regexp_replace(p, r"^&#[xX]?[0-9A-Fa-f]+;", ""))).otherwise(p)
     text = F.array_join(F.transform(parts, sign), "")
     for entity, by in (*ENTITIES, ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(by))
-    return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
+    return text
 
 
 def _character(code: Column) -> Column:

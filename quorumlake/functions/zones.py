@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -52,7 +53,8 @@ QUICK, QUICK_CHARS = ("main", "[role='main']", "#primary", ".site-main", ".regio
 #: Up to how many characters a block may be a mere heading, and from how many the block behind it counts;
 #: what the texts of headings have.
 HEADING, BEHIND = 160, 180
-_CRUMBS = re.compile(r"(?i)(you are here|breadcrumb|home\s*[>/]|\s>\s|\s\|\s)|(government|departments?|services|residents|business|how do i)")
+_TRAIL = re.compile(r"(?i)(you are here|breadcrumb|home\s*[>/]|\s>\s|\s\|\s)")
+_SERVICES = re.compile(r"(?i)(government|departments?|services|residents|business|how do i)")
 #: Fixed value: names of main menus.
 _PRIMARY = re.compile(r"(?i)\b(main|primary|site|global|top|header|masthead)\b")
 #: Elements whose text is not read.
@@ -236,7 +238,7 @@ def _matches(x: Element, steps: tuple) -> bool:
 
 def is_heading(text: str) -> bool:
     """Whether a block looks like a mere heading: empty, or short and like a menu or breadcrumbs."""
-    return not text or (len(text) < HEADING and bool(_CRUMBS.search(text)))
+    return not text or (len(text) < HEADING and bool(_TRAIL.search(text) or _SERVICES.search(text)))
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
@@ -358,34 +360,53 @@ def side_menus(html: pd.Series) -> pd.Series:
 
 #: Blocks of a section's text.
 _PARTS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "header")
+#: How a section's own content is named, the classes of items and titles, and the sign of a section's number.
+CONTENT_ID, ITEM, TITLE = "_content", "litem", "contentTitle"
 _SECTION = re.compile(r"§\s*(\d+-\d+)")
+#: Content stands for its section if it has so many characters and lines, each of so many characters; if it has
+#: an item by letter; and if a line begins as a section or item does, or it holds the words that one site begins with.
+CHARS, LINES, LINE = 200, 5, 10
+_LETTERED = re.compile(r"[A-Z]\.\s+")
+_BEGINS = re.compile(r"(?m)^(§\s*\d+-\d+|[A-Z]\.)")
+OPENING = "Surface and subsurface water"
+
+
+def _stands_alone(text: str) -> bool:
+    """Whether a content element has enough in it to be all of its section."""
+    lines = [line for line in map(str.strip, text.split("\n")) if len(line) > LINE]
+    return len(text) > CHARS and len(lines) >= LINES and bool(_LETTERED.search(text)) and (OPENING in text or bool(_BEGINS.search(text)))
+
+
+def _number(page: Page, x: Element) -> str | None:
+    found = _SECTION.search(page.raw(x))
+    return found[1] if found else None
+
+
+def _items(page: Page, head: Element, number: str | None) -> Iterator[Element]:
+    """Items behind a heading up to the title of another section; an item whose link names another section isn't its own."""
+    for x in itertools.islice(page.all, head.at + 1, None):
+        names = x.attrs.get("class", "")
+        if TITLE in names and _number(page, x) not in (None, number):
+            return
+        if ITEM in names:
+            link = next((y for y in page.inside(x) if y.tag == "a"), None)
+            told = link.attrs.get("alt") if link is not None else None
+            if not told or not number or told.startswith(number):
+                yield x
 
 
 def _section(page: Page, anchor: str) -> list[Element] | None:
-    """Elements that a section is made of: its heading with its content, or with the list items up to the next section;
-    null if it can't be told from the page."""
-    head = next((x for x in page.all if x.attrs.get("id") == anchor), None)
-    if head is None:
+    """Elements that a section is made of: its heading with its content, or with the items that follow; null if it can't be
+    told from the page: there is no such heading, or it has a content element on a page without any items."""
+    by_id = {}
+    for x in page.all:
+        by_id.setdefault(x.attrs.get("id"), x)
+    head, content = by_id.get(anchor), by_id.get(anchor + CONTENT_ID)
+    if head is None or (content is not None and all(ITEM not in x.classes for x in page.all)):
         return None
-    content = next((x for x in page.all if x.attrs.get("id") == f"{anchor}_content"), None)
-    if content is not None:
-        if not any("litem" in x.classes for x in page.all):
-            return None
-        text = page.raw(content).strip()
-        starts = re.search(r"(?m)^(§\s*\d+-\d+|[A-Z]\.)", text) or "Surface and subsurface water" in text
-        if sum(len(line.strip()) > 10 for line in text.split("\n")) >= 5 and len(text) > 200 and starts and re.search(r"[A-Z]\.\s+", text):
-            return [head, content]
-    told = _SECTION.search(page.raw(head))
-    number, out = told[1] if told else None, [head]
-    for x in page.all[head.at + 1 :]:
-        cls = x.attrs.get("class", "")
-        if "contentTitle" in cls and (other := _SECTION.search(page.raw(x))) and other[1] != number:
-            break
-        if "litem" in cls:
-            alt = next((y.attrs.get("alt") for y in page.inside(x) if y.tag == "a"), None)
-            if not alt or not number or alt.startswith(number):
-                out.append(x)
-    return out
+    if content is not None and _stands_alone(page.raw(content).strip()):
+        return [head, content]
+    return [head, *_items(page, head, _number(page, head))]
 
 
 def _parts(page: Page, roots: list[Element]) -> Iterator[str]:

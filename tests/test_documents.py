@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quorumlake.functions import chunk, titles
+from quorumlake.functions import chunk, statutes, titles
 from quorumlake.operators import indexing, ordinances, rewrite, upkeep, versions
 from quorumlake.providers import models
 from quorumlake.sources import store
@@ -28,6 +28,13 @@ def test_titles(values):
     assert values(titles.document_title(*map(F.col, "cgou")), rows, "c string, g string, o string, u string") == ["cached", "given", "own", "B", "B"]
 
 
+def test_titles_of_statutes_with_elements_inside(values):
+    inner = lambda x: (f"<i>x</i><span class='a titleNumber'>§ 1-2</span><span class=\"titleTitle\">{x}</span> tail <span>z</span>",)
+    pages = [inner("A <span>b</span> c"), inner("<SPAN>A</SPAN><span> <span>b</span></span>&#xA7; c."), inner("plain"), ("<div class='titleNumber'>§ 3</div><div class='titleTitle'>never <div>closed",), ("<p>none</p>",), ("<b class='titleNumber'></b><b class='titleTitle'></b>",)]
+    got = values(statutes.number_and_title(F.col("h")), pages, "h string")
+    assert [(r.number, r.title) for r in got] == [("§ 1-2", "A b c"), ("§ 1-2", "A b§ c"), ("§ 1-2", "plain"), ("§ 3", "never closed"), (None, None), (None, None)]
+
+
 def test_texts_without_templates():
     page = "<header><p>top<header>in</header></p></header><p>one</p><div role='banner'><div>no</div>no</div><ul><li>two</ul><footer><p>end</footer><p>three</p>"
     assert rewrite.text_without(page, ["header", "footer"]) == "one\n\n- two\n\nthree"
