@@ -19,7 +19,7 @@ from quorumlake.llm.shared import partitions
 GRAM = 16
 WINDOW = 48
 #: A short text's window is a WINDOWS-th of its grams and LEAST_WINDOW at least, so that it keeps a dozen hashes or two; what
-#: a wider window keeps a narrower one keeps too, so texts of any lengths can be compared.
+#: a wider window keeps a narrower one keeps too, so a fingerprint is thinned to the wider window before it is compared.
 WINDOWS, LEAST_WINDOW = 8, 8
 #: Code points of results that are handed over at once.
 BLOCK = 1 << 20
@@ -41,20 +41,50 @@ def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> np.ndarray:
         return np.zeros((0, 2), dtype=np.uint32)
     gram = min(gram, len(code))
     h = (tb.mix(tb.roll(code + np.uint64(1), gram, _BASE)) >> np.uint64(32)).astype(np.uint64)
-    window = min(window, max(LEAST_WINDOW, len(h) // WINDOWS), len(h))
     place = np.arange(len(h), dtype=np.uint64)
-    low = tb.sliding_min(h << np.uint64(32) | (np.uint64(0xFFFFFFFF) - place), window)
+    return _least(h << np.uint64(32) | (np.uint64(0xFFFFFFFF) - place), window_of(len(h), window))
+
+
+def window_of(grams: int, window: int = WINDOW) -> int:
+    """The window of a text of so many grams."""
+    return min(window, max(LEAST_WINDOW, grams // WINDOWS), grams)
+
+
+def _least(rank: np.ndarray, window: int) -> np.ndarray:
+    """(hash, place) of the least of every window of ranks, a rank being a hash and then how far its place is from the end."""
+    low = tb.sliding_min(rank, window)
     kept = low[np.concatenate([[True], low[1:] != low[:-1]])]
     return np.stack([kept >> np.uint64(32), np.uint64(0xFFFFFFFF) - (kept & np.uint64(0xFFFFFFFF))], axis=1).astype(np.uint32)
 
 
+def grams_of(n_chars: int, gram: int = GRAM) -> int:
+    return max(n_chars - gram + 1, 1)
+
+
+def thinned(print_: np.ndarray, grams: int, window: int) -> np.ndarray:
+    """What a text of so many grams keeps with a wider window, from what it keeps with its own: the least of a wider window
+    is the least of each narrower one in it that has its place."""
+    if not len(print_) or window <= window_of(grams):
+        return print_
+    rank = np.full(grams, np.iinfo(np.uint64).max, dtype=np.uint64)
+    place = print_[:, 1].astype(np.uint64)
+    rank[print_[:, 1]] = print_[:, 0].astype(np.uint64) << np.uint64(32) | (np.uint64(0xFFFFFFFF) - place)
+    return _least(rank, min(window, grams))
+
+
 def encoded(print_: np.ndarray) -> str:
     """16 hexadecimal digits for each kept gram: its hash, then its place."""
     return print_.astype(">u4").tobytes().hex()
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of kept hashes that two fingerprints have in common (Jaccard, 0 to 1; two empty ones: 1)."""
+def likeness(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> float:
+    """Share of kept hashes that two fingerprints have in common (Jaccard, 0 to 1; two empty ones: 1).
+
+    n_a, n_b: code points of the texts.  Both are compared by the wider window of the two, so a short text isn't held
+    to be unlike a long one for being kept more densely.
+    """
+    window = max(window_of(grams_of(n_a)), window_of(grams_of(n_b)))
+    a, b = thinned(a, grams_of(n_a), window), thinned(b, grams_of(n_b), window)
     x, y = np.unique(a[:, 0]), np.unique(b[:, 0])
     common = len(np.intersect1d(x, y, assume_unique=True))
     total = len(x) + len(y) - common
@@ -146,7 +176,7 @@ def _judged(now: tuple, after: tuple) -> tuple:
     third = len(text) // 3
     edited = text[: len(text) - third] + after[1][:third]
     other = winnow(edited)
-    return doc_id, len(text), edited, encoded(own), encoded(other), likeness(own, other), likeness(own, after[2])
+    return doc_id, len(text), edited, encoded(own), encoded(other), likeness(own, other, len(text), len(edited)), likeness(own, after[2], len(text), len(after[1]))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
