@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Collection
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,6 +79,10 @@ def number_and_title(html: Column) -> Column:
     return F.struct(F.nullif(number, F.lit("")).alias("number"), F.nullif(title, F.lit("")).alias("title"))
 
 
+def any_of(conditions: Collection[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
 def _spaced(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))
 
@@ -86,13 +91,25 @@ def _is_state(x: Column, codes: Collection[str], names: Collection[str]) -> Colu
     return F.upper(F.replace(x, F.lit("."), F.lit(""))).isin(*codes) | F.lower(_spaced(x)).isin(*names)
 
 
+#: How parts of a title are parted, and how a place, and a place at the end, name their state.
+_BARS = r"\s\|\s|\s-\s|,\s"
+_PLACE = r"^[A-Za-z .'-]+,\s*([A-Za-z .'-]{2,})$"
+_AT_END = r",\s*([A-Za-z. ]{2,})$"
+
+
 def _locality(part: Column, name: Column, kind: Column, state: Column, codes: Collection[str], names: Collection[str]) -> Column:
     """Whether a part of a title says where and not what."""
     low, name, kind, state = F.lower(part), F.lower(_spaced(name)), F.lower(_spaced(kind)), F.lower(_spaced(state))
-    ends = F.endswith(low, F.concat(F.lit(" "), state)) | F.endswith(low, F.concat(F.lit(" "), F.replace(state, F.lit("."), F.lit(""))))
-    placed = (state != "") & (F.contains(low, F.concat(F.lit(", "), state)) | ends)
-    own = (name != "") & ((low == name) | (F.contains(low, name) & (((kind != "") & F.contains(low, kind)) | placed)))
-    return own | _is_state(part, codes, names) | _is_state(F.regexp_extract(part, r"^[A-Za-z .'-]+,\s*([A-Za-z .'-]{2,})$", 1), codes, names)
+    has = lambda x: (x != "") & F.contains(low, x)
+    in_state = [F.contains(low, F.concat(F.lit(", "), state)), *(F.endswith(low, F.concat(F.lit(" "), x)) for x in (state, F.replace(state, F.lit("."), F.lit(""))))]
+    conditions = (
+        (name != "") & (low == name),  # the entity itself
+        has(name) & has(kind),  # with its kind
+        has(name) & (state != "") & any_of(in_state),  # with its state
+        _is_state(part, codes, names),  # a state
+        _is_state(F.regexp_extract(part, _PLACE, 1), codes, names),  # any place of a state
+    )
+    return any_of(conditions)
 
 
 def title_needle(title: Column, name: Column, kind: Column, state: Column, states: dict[str, str]) -> Column:
@@ -103,9 +120,9 @@ def title_needle(title: Column, name: Column, kind: Column, state: Column, state
     """
     codes, names = [c.upper() for c in states.values()], list(states)
     whole = _spaced(title)
-    parts = F.filter(F.transform(F.split(whole, r"\s\|\s|\s-\s|,\s"), lambda p: F.trim(p)), lambda p: F.length(p) >= NEEDLE)
+    parts = F.filter(F.transform(F.split(whole, _BARS), lambda p: F.trim(p)), lambda p: F.length(p) >= NEEDLE)
     telling = F.get(F.filter(parts, lambda p: ~_locality(p, name, kind, state, codes, names)), 0)
     best = F.coalesce(telling, F.get(parts, 0), whole)
-    at_end = F.regexp_extract(best, r",\s*([A-Za-z. ]{2,})$", 1)
-    pruned = F.when(_is_state(at_end, codes, names), F.trim(F.regexp_replace(best, r",\s*[A-Za-z. ]{2,}$", ""))).otherwise(best)
+    at_end = F.regexp_extract(best, _AT_END, 1)
+    pruned = F.when(_is_state(at_end, codes, names), F.trim(F.regexp_replace(best, _AT_END, ""))).otherwise(best)
     return F.when(F.length(pruned) >= NEEDLE, F.lower(pruned))

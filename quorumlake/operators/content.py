@@ -21,6 +21,7 @@ SHAPES = (
     (r"(?i)(^|\s|>)header([.#:>\s]|$)|(^|\s|>)nav([.#:>\s]|$)", -12),
     (r"(?i)breadcrumbs?|breadcrumb|menu|translation|social|footer", -8),
 )
+#: Fixed value: what a selector of a main block has.
 _MAIN = r"(?i)(^|\s|>)main([.#:>\s]|$)|#main\b|freeform-main|#entry\b|#post\b|main-content|page-content|\bcontent\b"
 #: Characters a block needs; up to where a title is near its start, and in a main block still in place.
 LEAST, FIRST_PASS, NEAR, FAR = 120, 150, 320, 3000
@@ -28,6 +29,7 @@ LEAST, FIRST_PASS, NEAR, FAR = 120, 150, 320, 3000
 TITLED, OTHER, OTHER_TITLED = 0.9, 0.6, 0.85
 #: Stands for the area between two comments.
 COMMENTS = "__comment_content_area__"
+#: Fixed value: the comments that a content area stands between.
 _AREA = r"(?is)<!--\s*/?\s*[\w-]*\s*Content Area Starts?\s*-->(.*?)<!--\s*/?\s*[\w-]*\s*Content Area Ends?\s*-->"
 
 

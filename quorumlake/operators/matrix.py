@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.functions.numbers import green_hex, green_rgb
+from quorumlake.functions.numbers import COLOURS, green_hex, green_rgb
 
 KEY = ["entity_id", "domain_id"]
 
@@ -63,4 +63,4 @@ def grades(entities: DataFrame, analyses: DataFrame, scores: DataFrame) -> DataF
     """Grade of each analysis by its score; the state's code overrides it."""
     rows = analyses.join(real(entities).select("entity_id", "name"), "entity_id").join(scores, KEY, "left")
     grade = F.when(F.col("state_code"), "State").when(F.col("score").isNull(), "None").when(F.col("score") >= 0.7, "Very Good").when(F.col("score") >= 0.5, "Good").when(F.col("score") >= 0.3, "Yellow").otherwise("Red")
-    return rows.select(*KEY, "name", grade.alias("grade"), F.when(F.col("state_code"), F.lit("#94a3b8")).otherwise(green_hex(F.coalesce("score", F.lit(0.0)))).alias("colour"))
+    return rows.select(*KEY, "name", grade.alias("grade"), F.when(F.col("state_code"), F.lit(COLOURS["gray"])).otherwise(green_hex(F.coalesce("score", F.lit(0.0)))).alias("colour"))

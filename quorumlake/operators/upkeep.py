@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlake.functions import text, urls
+from quorumlake.functions.numbers import COLOURS
 from quorumlake.operators import pages, scoring
 
 KEY = ["entity_id", "domain_id"]
@@ -107,9 +108,13 @@ def plain_type(cell: Column) -> Column:
     return F.when(F.trim(cell) == "Town/Village", "Town").otherwise(F.regexp_replace(F.trim(cell), "[^a-zA-Z0-9]", ""))
 
 
+#: What stands where a text was cut, and the characters that are kept free for it.
+CUT, CUT_ROOM = "\n\n[Text truncated to fit context limit...]", 100
+
+
 def truncated(body: Column, tokens: int) -> Column:
     """A text of four characters a token at most, with a note where it was cut."""
-    return F.when(F.length(body) <= 4 * tokens, body).otherwise(F.concat(F.substring(body, 1, 4 * tokens - 100), F.lit("\n\n[Text truncated to fit context limit...]")))
+    return F.when(F.length(body) <= 4 * tokens, body).otherwise(F.concat(F.substring(body, 1, 4 * tokens - CUT_ROOM), F.lit(CUT)))
 
 
 def name_tokens(name: Column) -> Column:
@@ -195,7 +200,7 @@ def recovered(files: DataFrame, history: DataFrame) -> DataFrame:
 def feature_colours(features: DataFrame, summary: DataFrame, data: DataFrame, default: str = "#cccccc") -> DataFrame:
     """Colour of a map feature: of its data row, else grey-blue under the state's code, else of its summary, else the default."""
     rows = features.join(summary.select("entity_id", "state_code", F.col("colour").alias("__s")), "entity_id", "left").join(data.select("entity_id", F.col("colour").alias("__d")), "entity_id", "left")
-    return rows.select("feature_id", "entity_id", F.coalesce("__d", F.when(F.col("state_code"), F.lit("#94a3b8")), "__s", F.lit(default)).alias("colour"))
+    return rows.select("feature_id", "entity_id", F.coalesce("__d", F.when(F.col("state_code"), F.lit(COLOURS["gray"])), "__s", F.lit(default)).alias("colour"))
 
 
 def with_scoring(data: DataFrame, config: DataFrame) -> DataFrame:
