@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quorumlake.functions.html import once
 from quorumlake.functions.titles import entities
 
 #: Forms of a description, and of a full title, that begin with a number and go on with a title.
@@ -38,15 +39,18 @@ def _attribute(tag: Column, name: str) -> Column:
 def _inner(html: Column, cls: str) -> Column:
     """Text of the first element of a class, up to its own closing tag: elements of its kind may stand in it."""
     begin = rf"(?is)<(\w+)\b[^>]*\bclass=[\"'](?:[^\"']*\s)?{cls}(?:\s[^\"']*)?[\"'][^>]*>"
-    tag, rest = F.regexp_extract(html, begin, 1), F.regexp_extract(html, begin + "(.*)$", 2)
-    # pieces that begin with a tag of the kind, but for the first; the element ends where as many have closed as opened
-    pieces = F.split(rest, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s/>])")))
+    # pieces begin with a tag of the kind, but the first may not; the element ends where as many have closed as opened
     start = F.struct(F.lit(1).alias("open"), F.lit(0).alias("n"))
-    more = lambda p: F.when(F.startswith(p, F.lit("</")), -1).when(p.rlike("^<[A-Za-z]") & F.startswith(F.lower(p), F.concat(F.lit("<"), F.lower(tag))), 1).otherwise(0)
-    step = lambda s, p: F.when(s["open"] == 0, s).otherwise(F.struct((s["open"] + more(p)).alias("open"), (s["n"] + 1).alias("n")))
-    end = F.aggregate(pieces, start, step)
-    inner = F.array_join(F.slice(pieces, F.lit(1), F.when(end["open"] == 0, end["n"] - 1).otherwise(end["n"])), "")
-    return _plain(F.regexp_replace(F.when(tag == "", "").otherwise(inner), "<[^>]*>", ""))
+
+    def inside(found: Column) -> Column:
+        begins = lambda p, how: F.rlike(p, F.concat(F.lit(f"(?i)^{how}"), found["tag"], F.lit(r"[\s/>]")))
+        pieces = F.split(found["rest"], F.concat(F.lit("(?i)(?=</?"), found["tag"], F.lit(r"[\s/>])")))
+        turns = F.transform(pieces, lambda p: F.when(begins(p, "</"), -1).when(begins(p, "<"), 1).otherwise(0))
+        step = lambda s, t: F.when(s["open"] == 0, s).otherwise(F.struct((s["open"] + t).alias("open"), (s["n"] + 1).alias("n")))
+        return once(F.struct(pieces.alias("pieces"), F.aggregate(turns, start, step).alias("end")), lambda x: F.array_join(F.slice(x["pieces"], F.lit(1), F.when(x["end"]["open"] == 0, x["end"]["n"] - 1).otherwise(x["end"]["n"])), ""))
+
+    found = F.struct(F.regexp_extract(html, begin, 1).alias("tag"), F.regexp_extract(html, begin + "(.*)$", 2).alias("rest"))
+    return _plain(F.regexp_replace(once(found, lambda x: F.when(x["tag"] == "", "").otherwise(inside(x))), "<[^>]*>", ""))
 
 
 def _first(x: Column, patterns: Collection[str], group: int) -> Column:
@@ -60,19 +64,26 @@ def number_and_title(html: Column) -> Column:
     of class titleNumber and titleTitle; then, if one is missing still, from a data-full-title.
     """
     html = F.coalesce(html, F.lit(""))
-    told = _attribute(F.regexp_extract(html, r"(?is)(<meta\b[^>]*\bproperty=[\"']og:description[\"'][^>]*>)", 1), "content")
+    parts = F.struct(
+        _attribute(F.regexp_extract(html, r"(?is)(<meta\b[^>]*\bproperty=[\"']og:description[\"'][^>]*>)", 1), "content").alias("told"), _inner(html, "titleNumber").alias("shown"), _inner(html, "titleTitle").alias("name"),
+        _attribute(F.regexp_extract(html, r"(?is)(<[^>]*\sdata-full-title=[^>]*>)", 1), "data-full-title").alias("full"),
+    )
+    return once(parts, _number_and_title)
+
+
+def _number_and_title(x: Column) -> Column:
+    told, shown = x["told"], x["shown"]
     number, title = _first(told, DESCRIPTIONS, 1), _first(told, DESCRIPTIONS, 2)
 
     odd = (number == "") | ~F.length(title).between(SHORTEST, LONG) | (title == "N/A")
-    shown, name = _inner(html, "titleNumber"), F.regexp_replace(F.regexp_replace(_inner(html, "titleTitle"), r"\s+", " "), r"\.$", "")
+    name = F.regexp_replace(F.regexp_replace(x["name"], r"\s+", " "), r"\.$", "")
     for kind in ("Article", "Chapter", "Section"):
         name = F.regexp_replace(name, rf"(?i)^{kind}\s+\d+\s*[-–—]?\s*", "")
-    number, title = F.when(odd & shown.rlike("§|Ch"), shown).otherwise(number), F.when(odd & (_inner(html, "titleTitle") != ""), F.trim(name)).otherwise(title)
+    number, title = F.when(odd & shown.rlike("§|Ch"), shown).otherwise(number), F.when(odd & (x["name"] != ""), F.trim(name)).otherwise(title)
 
-    full = _attribute(F.regexp_extract(html, r"(?is)(<[^>]*\sdata-full-title=[^>]*>)", 1), "data-full-title")
-    other = _first(full, FULL_TITLES, 1)
+    other = _first(x["full"], FULL_TITLES, 1)
     other = F.when((other == "") | F.contains(other, F.lit("§")), other).otherwise(F.concat(F.lit("§ "), other))
-    number, title = F.coalesce(F.nullif(number, F.lit("")), other), F.coalesce(F.nullif(title, F.lit("")), F.regexp_replace(_first(full, FULL_TITLES, 2), "[.;]$", ""))
+    number, title = F.coalesce(F.nullif(number, F.lit("")), other), F.coalesce(F.nullif(title, F.lit("")), F.regexp_replace(_first(x["full"], FULL_TITLES, 2), "[.;]$", ""))
 
     number = F.trim(F.regexp_replace(number, r"^([^§]*)§\s*", "$1§ "))
     title = F.when(F.length(title) <= LONGEST, F.trim(F.regexp_replace(title, r"[\n\t\r]+", " "))).otherwise("")

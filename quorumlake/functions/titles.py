@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quorumlake.functions import urls
+from quorumlake.functions.html import once
 
 #: Fixed value: characters of a title at most.
 LONGEST = 300
@@ -44,10 +45,14 @@ def _meta(html: Column, key: str, name: str) -> Column:
 
 def html_title(html: Column) -> Column:
     """Of title, og:title, twitter:title, the first h1 and the first h2 the first that isn't blank, cut; else null."""
-    html = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", "")
-    element = lambda tag: F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
-    found = [element("title"), _meta(html, "property", "og:title"), _meta(html, "name", "twitter:title"), element("h1"), element("h2")]
-    return F.substring(F.coalesce(*(F.nullif(plain(x), F.lit("")) for x in found)), 1, LONGEST)
+    read = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", "")
+
+    def first(page: Column) -> Column:
+        element = lambda tag: F.regexp_extract(page, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
+        found = [element("title"), _meta(page, "property", "og:title"), _meta(page, "name", "twitter:title"), element("h1"), element("h2")]
+        return F.substring(F.coalesce(*(F.nullif(plain(x), F.lit("")) for x in found)), 1, LONGEST)
+
+    return once(read, first)
 
 
 def slug_title(url: Column) -> Column:
