@@ -69,8 +69,13 @@ v AS (SELECT entity_id, url, min(ms) AS ms, 'first' AS kind FROM e GROUP BY 1, 2
 SELECT entity_id, url, ms, kind FROM v WHERE ms IS NOT NULL""", common=False)
 def stream_kept_visits(spark: SparkSession, d: str) -> DataFrame:
     """I01, I04, as a stream with a state of its own: visits three days or more after the last one count again."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kept = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(kept)
+    spark.conf.set(kept, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     events = spark.readStream.schema(t.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = events.select((F.col("user_id") % 40).alias("entity_id"), F.concat(F.lit("u"), F.col("event_id") % 25).alias("url"), F.col("ts").cast("timestamp").alias("ts"))
     place = folders.shared(spark)
-    return incremental.run_available(incremental.kept_visits(rows), "append", f"{place}/out", f"{place}/log").where("kind <> 'due'")
+    try:
+        return incremental.run_available(incremental.kept_visits(rows), "append", f"{place}/out", f"{place}/log").where("kind <> 'due'")
+    finally:
+        spark.conf.set(kept, before)
