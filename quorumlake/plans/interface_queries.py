@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.operators import callbacks
+from quorumlake.operators import callbacks, sheets
 from quorumlake.plans.registry import Registry
 from quorumlake.sources import document_tree, folders
 from quorumlake.sources import tables as t
@@ -79,3 +79,30 @@ def stream_kept_visits(spark: SparkSession, d: str) -> DataFrame:
         return incremental.run_available(incremental.kept_visits(rows), "append", f"{place}/out", f"{place}/log").where("kind <> 'due'")
     finally:
         spark.conf.set(kept, before)
+
+
+def _sheet(spark: SparkSession, d: str) -> DataFrame:
+    """A row a customer: the name with its segment in brackets, two cells with grades; every ninth has no name, every 13th is short."""
+    k = F.col("c_custkey")
+    name = F.when(k % 9 == 0, " ").otherwise(F.concat(F.regexp_replace("c_name", "#", " "), F.lit(" ("), F.initcap(F.lower("c_mktsegment")), F.lit("/x)")))
+    one = F.when(k % 4 == 0, "VG - very good").when(k % 4 == 1, " G").when(k % 4 == 2, "Yes").otherwise("none")
+    two = F.when(k % 3 == 0, "R-").when(k % 3 == 1, "no ").otherwise("")
+    return t.table(spark, d, "customer").select(k.alias("row_id"), F.when(k % 13 == 0, F.array(name, one)).otherwise(F.array(name, one, two)).alias("cells"))
+
+
+_COLUMNS = {"trees": 1, "noise": 2}
+_NAMES_SQL = """rows AS (SELECT c_custkey AS k, c_name, c_mktsegment AS m, c_custkey % 4 AS a, CASE WHEN c_custkey % 13 = 0 THEN 2 ELSE c_custkey % 3 END AS b FROM customer WHERE c_custkey % 9 <> 0)"""
+
+
+@R.add(f"""WITH {_NAMES_SQL}, g AS (SELECT k, c_name, m, 'trees' AS domain_id, CASE a WHEN 0 THEN 'Very Good' WHEN 1 THEN 'Good' END AS grade FROM rows UNION ALL SELECT k, c_name, m, 'noise', CASE WHEN b = 0 THEN 'Red' END FROM rows)
+SELECT 'NY-' || replace(replace(c_name, '#', ''), ' ', '') || '-' || upper(m[1]) || lower(m[2:]) AS entity_id, 'NY' AS state, domain_id, grade FROM g WHERE grade IS NOT NULL""", common=False)
+def sheet_grades(spark: SparkSession, d: str) -> DataFrame:
+    """A sheet read by a parser of codes."""
+    return sheets.grades(_sheet(spark, d), sheets.GradeSheet(_COLUMNS, {"VG": "Very Good", "G": "Good", "R": "Red"}))
+
+
+@R.add(f"""WITH {_NAMES_SQL}, g AS (SELECT k, c_name, m, 'trees' AS domain_id, CASE WHEN a = 2 THEN 'Good' END AS grade FROM rows UNION ALL SELECT k, c_name, m, 'noise', CASE WHEN b = 1 THEN 'Red' END FROM rows)
+SELECT lower(replace(c_name, '#', '-')) || '-' || lower(m) || '-x' AS entity_id, '' AS state, domain_id, grade FROM g WHERE grade IS NOT NULL""", common=False)
+def sheet_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The same sheet, read by a parser of yes and no."""
+    return sheets.grades(_sheet(spark, d), sheets.PlainSheet(_COLUMNS))

@@ -167,3 +167,19 @@ def test_wildcards_of_menus_by_loops(spark):
         cards = {u for u in own if u.endswith("*")} | {u + "*" for u in plain if any(v.startswith(u + "/") for v in plain) and not any(v.startswith(u) for v in used)}
         wanted |= {(e, u) for u in own if not u.endswith("*") and not (u in plain and any(u.startswith(c[:-1]) for c in cards))} | {(e, c) for c in cards}
     assert got == wanted
+
+
+def test_sheets_by_their_parsers(spark):
+    from quorumlake.operators import sheets
+
+    rows = spark.createDataFrame([(1, ["Bay (Town)", "G old", "VG"]), (2, ["Bay (Town/x)", "R-late"]), (3, ["", "G"]), (4, [None, "G"]), (5, []), (6, ["Hill", "?", " G"])], "row_id long, cells array<string>")
+    told = lambda parser: {(r.entity_id, r.state, r.domain_id, r.grade) for r in sheets.grades(rows, parser).collect()}
+    assert told(sheets.GradeSheet({"a": 1, "b": 2}, {"G": "Good", "VG": "Very Good", "R": "Red"})) == {("NY-Bay-Town", "NY", "a", "Red"), ("NY-Bay-Town", "NY", "b", "Very Good"), ("NY-Hill", "NY", "b", "Good")}
+
+    class Lengths:
+        prefix, state, columns = "x", "y", {"n": 1}
+        name = staticmethod(lambda cell: F.nullif(cell, F.lit("")))
+        grade = staticmethod(lambda cell: F.length(cell).cast("string"))
+
+    assert told(Lengths()) == {("xBay (Town)", "y", "n", "5"), ("xBay (Town/x)", "y", "n", "6"), ("xHill", "y", "n", "1")}
+    assert sheets.grades(rows.limit(0), Lengths()).count() == 0
