@@ -168,7 +168,8 @@ def _in_cells(rows: DataFrame, centroids: np.ndarray, key: str, probes: int = 1)
 class InvertedFile:
     """An index of chunks in cells around centroids: a search reads the cells that are nearest to its queries.
 
-    The files: blocks in a folder for each cell, and ``cells``: centroid, count and least likeness of each cell.
+    The files: blocks in a folder for each cell; ``cells``: centroid, count and least likeness of each cell; ``ids``: the
+    ids' type.
     """
 
     spark: SparkSession
@@ -182,6 +183,7 @@ class InvertedFile:
         centroids = fitted_centroids(chunks, cells, sample)
         dealt = _in_cells(chunks, centroids, "chunk_id")
         blocks(dealt, "chunk_id", ["cell"]).write.partitionBy("cell").parquet(f"{path}/blocks")
+        chunks.select("chunk_id").limit(0).write.parquet(f"{path}/ids")  # an index of nothing has no block that tells their type
         bounds = dealt.groupBy("cell").agg(F.min("likeness").alias("least"), F.count("*").alias("n"))
         rows = chunks.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centroids)], "cell int, centroid array<double>")
         rows.join(bounds, "cell", "full").write.parquet(f"{path}/cells")
@@ -196,7 +198,9 @@ class InvertedFile:
         return self.spark.read.parquet(f"{self.path}/cells").agg(F.sum("n")).first()[0] or 0
 
     def _blocks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/blocks").select(F.col("cell").cast("int").alias("cell"), "ids", "vectors")
+        kind = self.spark.read.parquet(f"{self.path}/ids").schema["chunk_id"].dataType
+        schema = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("vectors", T.BinaryType()), T.StructField("cell", T.IntegerType())])
+        return self.spark.read.schema(schema).parquet(f"{self.path}/blocks").select("cell", "ids", "vectors")
 
     def search(self, queries: DataFrame, k: int = 5, probes: int = 8) -> DataFrame:
         """query_id, chunk_id, score, rank: the k best chunks of the ``probes`` nearest cells, by exact cosines."""
