@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorumlake.llm.shared import Scratch, materialise, partitions
+from quorumlake.llm.shared import Scratch, materialise, partitions, shared_folder
 
 BLANK = " \t\n\v\f\r"
 #: Keys of fewer code points are never dropped.
@@ -87,7 +87,7 @@ class LineRuns:
             level += 1
 
     def losers(self, keys: DataFrame, more: bool = True) -> DataFrame:
-        """Takes in a batch (columns key, doc) and returns its (key, doc) whose line has an earlier owner.
+        """Takes in a batch (columns key, doc and any others) and returns its rows whose line has an earlier owner.
 
         Batches must come in order of doc for the owner to be the smallest of all; in any order, first come first kept.
         After the last batch nothing needs to be added, which more=False says.
@@ -101,20 +101,22 @@ class LineRuns:
         if more:
             self.add(met.where("owner is null").select("key", F.col("own").alias("owner")))
         twice = met.where("owner is not null or n > 1").select("key", F.coalesce("owner", "own").alias("owner"))
-        return keys.join(twice, "key").where("doc <> owner").select("key", "doc")
+        return keys.join(twice, "key").where("doc <> owner").select(*keys.columns)
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    schema = "key binary, doc long"
+    """key, doc, row: the keys of each text, with its document and what tells rows of one document apart."""
+    schema = "key binary, doc long, row long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids = [], []
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
+            keys, ids, rows = [], [], []
+            for doc, row, text in zip(batch.column("doc").to_pylist(), batch.column("row").to_pylist(), batch.column("text"), strict=True):
                 found = {line_key(x) for x in (text.as_py() or "").split("\n")} - {None}
                 keys += found
                 ids += [doc] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], names=["key", "doc"])
+                rows += [row] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(rows, pa.int64())], names=["key", "doc", "row"])
 
     return docs.mapInArrow(run, schema)
 
@@ -137,22 +139,26 @@ def dedup_lines(docs: DataFrame, text: str = "text", batches: int = BATCHES) ->
     spark = docs.sparkSession
     new = ("n_lines", "n_dropped", "kept")
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    source = docs.select(ids.alias("doc"), F.col(text).alias("text"))
+    # rows without doc_id are one document of any size: each of their texts has a list of lost lines of its own
+    row = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col(text))).otherwise(F.lit(0)).cast("long")
+    source = docs.select(ids.alias("doc"), row.alias("row"), F.col(text).alias("text"))
     bounds = [float(b) for b in (docs.stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) or [])]
     batch = F.lit(0)
     for b in sorted(set(bounds)):
         batch = batch + (F.col("doc") > F.lit(b)).cast("int")
-    keys = materialise(_keys(source).withColumn("batch", batch))
+    place = shared_folder(spark)  # a folder for each batch, which reads no other's
+    _keys(source).withColumn("batch", batch).write.partitionBy("batch").parquet(place)
+    keys = spark.read.schema("key binary, doc long, row long, batch int").parquet(place)
     lost = None
     with LineRuns(spark) as runs:
         for b in range(len(set(bounds)) + 1):
-            found = runs.losers(keys.where(F.col("batch") == b).select("key", "doc"), more=b < len(set(bounds)))
+            found = runs.losers(keys.where(F.col("batch") == b).select("key", "doc", "row"), more=b < len(set(bounds)))
             lost = found if lost is None else lost.union(found)
-    gone = lost.groupBy("doc").agg(F.collect_set("key").alias("__gone")).withColumnRenamed("doc", "__doc")
+    gone = lost.groupBy("doc", "row").agg(F.collect_set("key").alias("__gone")).withColumnsRenamed({"doc": "__doc", "row": "__row"})
     keep = [c for c in docs.columns if c not in new]
     at_text = keep.index(text)
     schema = docs.select(*keep).schema.add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
-    joined = docs.select(*keep, ids.alias("__id")).join(gone, F.col("__id") == F.col("__doc"), "left").select(*keep, "__gone")
+    joined = docs.select(*keep, ids.alias("__id"), row.alias("__own")).join(gone, (F.col("__id") == F.col("__doc")) & (F.col("__own") == F.col("__row")), "left").select(*keep, "__gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -84,3 +84,14 @@ def test_predictions_from_exact_sets(spark, small):
         same += votes.get(judged[r.doc_id].lang_pred, -1) >= 0.97 * best
         assert 0 <= judged[r.doc_id].score <= 1
     assert same >= 0.97 * letters
+
+
+def test_lines_of_many_rows_without_ids(spark):
+    from quorumlake.llm import line_dedup
+
+    shared = "a line that all of them hold"
+    rows = [(1, shared)] + [(None, f"{shared}\nown line number {i} of many\nown line number {i // 2} of many") for i in range(3000)] + [(2, "own line number 7 of many\nx")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = Counter(r.kept for r in out if r.doc_id is None)
+    wanted = Counter("\n".join(x for x in (t or "").split("\n") if x != shared and x != "own line number 7 of many") for i, t in rows if i is None)
+    assert kept == wanted and {r.kept for r in out if r.doc_id} == {shared, "own line number 7 of many\nx"}
