@@ -1,15 +1,18 @@
-"""Which of many keywords stand in a text: by one automaton for all of them, or by an index of their grams."""
+"""Which of many keywords stand in a text: by a list of a few, one automaton for all of them, or an index of their grams."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Keywords up to which they are a list in the plan itself.
+LISTED = 64
 #: Characters of all keywords up to which they make one automaton that every task gets (some 100 bytes a character).
 AUTOMATON = 1 << 20
 #: Characters of the grams that more keywords are joined by; shorter keywords go into the automaton, as they are few.
@@ -23,7 +26,11 @@ def keyword_hits(texts: DataFrame, key: str, columns: Sequence[str], keywords: D
     hold nothing; null and empty keywords are no keywords, repeated ones count once.  The size of the keywords is looked
     at first: a table of any length gives the same rows by the other way.
     """
-    distinct = keywords.where(F.length("keyword") > 0).select("keyword").distinct()
+    given = keywords.where(F.length("keyword") > 0).select("keyword")
+    first = [r.keyword for r in given.limit(16 * LISTED + 1).collect()]  # all of them, if there are few
+    if most and len(first) <= 16 * LISTED and len(set(first)) <= LISTED:
+        return by_list(texts, key, columns, sorted(set(first)))
+    distinct = given.distinct()
     if (distinct.agg(F.sum(F.length("keyword"))).first()[0] or 0) <= most:
         return by_automaton(texts, key, columns, distinct)
     long_ = F.length("keyword") >= GRAM
@@ -32,6 +39,20 @@ def keyword_hits(texts: DataFrame, key: str, columns: Sequence[str], keywords: D
     return hits.unionByName(by_contains(texts, key, columns, short))
 
 
+def by_list(texts: DataFrame, key: str, columns: Sequence[str], keywords: Sequence[str]) -> DataFrame:
+    """keyword_hits() of a few keywords: each text is searched for each of them, without a join or a pass through Python."""
+    words = F.array(*map(F.lit, keywords)) if keywords else F.array().cast("array<string>")
+    low = [F.coalesce(F.col(c), F.lit("")) for c in columns]
+
+    def found(w: Column) -> Column:
+        hits = [F.contains(c, w) for c in low]
+        return F.struct(w.alias("keyword"), *(h.alias(f"_{i}") for i, h in enumerate(hits)))
+
+    some = F.filter(F.transform(words, found), lambda x: reduce(lambda a, b: a | b, [x[f"_{i}"] for i in range(len(columns))]))
+    rows = texts.select(key, F.explode(some).alias("__x"))
+    return rows.select(key, F.col("__x.keyword").alias("keyword"), *(F.col(f"__x._{i}").alias(c) for i, c in enumerate(columns)))
+
+
 def by_automaton(texts: DataFrame, key: str, columns: Sequence[str], keywords: DataFrame) -> DataFrame:
     """keyword_hits() in one pass over each text, whatever the number of keywords; they are collected, so see their size first."""
     words = sorted(r.keyword for r in keywords.select("keyword").collect())

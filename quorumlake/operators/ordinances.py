@@ -66,9 +66,9 @@ def count(ordinances: DataFrame, what: Search) -> DataFrame:
 
 def variants(state: Column) -> Column:
     """A state's name and its abbreviation, in capitals."""
-    pairs = [(n.upper(), a) for n, a in STATES.items()]
+    other = {n.upper(): a for n, a in STATES.items()} | {a: n.upper() for n, a in STATES.items()}
     up = F.upper(F.trim(state))
-    return F.array_distinct(F.array_compact(F.array(up, *(F.when(up == n, F.lit(a)).when(up == a, F.lit(n)) for n, a in pairs))))
+    return F.array_compact(F.array(up, F.try_element_at(F.create_map(*(F.lit(x) for pair in other.items() for x in pair)), up)))
 
 
 def places_of(entities: DataFrame, places: DataFrame) -> DataFrame:
