@@ -274,8 +274,8 @@ def sheet_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A table as a stream: the folder is watched for its files."""
-    return spark.readStream.schema(t.table(spark, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """A table as a stream, of one file or a folder of files: as a pattern, for Spark takes no plain path of a file here."""
+    return spark.readStream.schema(t.table(spark, d, name).schema).parquet(f"{d.rstrip('/')}/{name}.parque[t]")
 
 
 def _finished(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
