@@ -1,6 +1,7 @@
 """Steps on tables of other forms and on what grows with them: folders, many entities of a place, many small documents."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quorumlake.plans import catalogue
 
@@ -17,3 +18,16 @@ def foldered(spark, small, tmp_path_factory):
 @pytest.mark.parametrize("name", ["stream_host_votes", "stream_token_windows", "stream_latest_records", "stream_first_visits"])
 def test_streams_of_folders(spark, foldered, oracle, same, name):
     same(catalogue.QUERIES[name](spark, foldered).toPandas(), oracle(catalogue.ORACLES[name]))
+
+
+def test_entities_of_one_place(spark):
+    """Many entities of a place have its candidates; what meets are places, not entities with ordinances."""
+    from quorumlake.operators import runs
+
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("NY").alias("state"), F.lit("").alias("county"), F.concat(F.lit("Athens "), F.col("id") % 2).alias("city"), F.concat(F.lit("Trees "), "id").alias("header"), F.repeat(F.lit("x "), F.lit(120)).alias("content"), F.lit(True).alias("is_substantive"))
+    people = spark.range(500).select(F.col("id").alias("entity_id"), F.lit("NY").alias("state"), F.lit("athens").alias("city")).union(spark.createDataFrame([(7, "ny", "athens 1"), (900, "NY", None)], "e long, s string, c string"))
+    domains = spark.createDataFrame([("trees", "Trees", ["tree"])], "domain_id string, name string, keywords array<string>")
+    rows = runs.populate(people, domains, docs, lambda p: '{"relevant": true, "confidence": 70}', limit=5)
+    got = {r.entity_id: r.docs for r in rows.groupBy("entity_id").agg(F.sort_array(F.collect_list("doc_id")).alias("docs")).collect()}
+    assert got == {i: [0, 1, 2, 3, 4] for i in range(500)}
+    assert {r.filename for r in rows.where("entity_id = 7").collect()} == {f"statute{i}.txt" for i in range(1, 6)}
