@@ -1,9 +1,11 @@
 """Steps on tables of other forms and on what grows with them: folders, many entities of a place, many small documents."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quorumlake.plans import catalogue
+from quorumlake.providers import models
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +22,16 @@ def test_streams_of_folders(spark, foldered, oracle, same, name):
     same(catalogue.QUERIES[name](spark, foldered).toPandas(), oracle(catalogue.ORACLES[name]))
 
 
+def test_embeddings_that_cancel_out():
+    """Words of one place and opposite signs, and texts without words, have a direction; blank ones have none."""
+    embed = models.HashedWords(8)
+    words = [f"w{i}" for i in range(60)]
+    one = {w: embed([w])[0] for w in words}
+    a, b = next((a, b) for a in words for b in words if not (one[a] + one[b]).any())
+    v = embed([f"{a} {b}", f"{a} {b}", "...", " \n"])
+    assert np.allclose(np.linalg.norm(v, axis=1), [1, 1, 1, 0]) and (v[0] == v[1]).all()
+
+
 def test_entities_of_one_place(spark):
     """Many entities of a place have its candidates; what meets are places, not entities with ordinances."""
     from quorumlake.operators import runs
