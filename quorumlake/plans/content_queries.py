@@ -14,7 +14,7 @@ R = Registry()
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
-    return t.table(spark, d, "part").select("p_partkey", "p_size", F.col("p_partkey").cast("string").alias("k"))
+    return t.spread(t.table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").withColumn("k", F.col("p_partkey").cast("string"))
 
 
 @R.add("""SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN '#body' WHEN 1 THEN 'main:nth-of-type(1)' WHEN 2 THEN '#story' WHEN 3 THEN '__comment_content_area__' WHEN 4 THEN NULL WHEN 5 THEN '.entry-content' ELSE 'div:nth-of-type(1)' END AS selector,

@@ -43,3 +43,25 @@ def test_entities_of_one_place(spark):
     got = {r.entity_id: r.docs for r in rows.groupBy("entity_id").agg(F.sort_array(F.collect_list("doc_id")).alias("docs")).collect()}
     assert got == {i: [0, 1, 2, 3, 4] for i in range(500)}
     assert {r.filename for r in rows.where("entity_id = 7").collect()} == {f"statute{i}.txt" for i in range(1, 6)}
+
+
+@pytest.mark.parametrize("name", ["quick_contents", "crawl_scan", "content_blocks", "anchored_texts", "statute_titles", "clean_pages", "section_chunks"])
+def test_small_tables_are_dealt(spark, small, name):
+    """A table of one file doesn't stay one task where each row is much work."""
+    assert catalogue.QUERIES[name](spark, small).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_shares_of_a_domain(spark, tmp_path, monkeypatch):
+    """A large domain is read by several tasks, each file by one of them; the driver keeps no names of files."""
+    from quorumlake.sources import document_tree
+
+    document_tree.register(spark)
+    rows = spark.range(90).select(F.lit("us").alias("realm_id"), F.concat(F.lit("d"), F.col("id") % 2).alias("domain_id"), F.concat(F.lit("e "), F.col("id") % 45).alias("entity_id"), F.lit("x").alias("name"), F.col("id").cast("string").alias("content"))
+    document_tree.save(rows, f"file://{tmp_path}/t")
+    monkeypatch.setattr(document_tree, "FOLDERS", 10)
+    parts = document_tree.TreeReader(f"{tmp_path}/t").partitions()
+    found = [k for p in parts for _, k in p.paths]
+    assert len(parts) > 4 and len(found) == len(set(found)) == 90
+    reader = document_tree.TreeReader(f"{tmp_path}/t")
+    list(reader.pushFilters([document_tree.EqualTo(("entity_id",), "e 7")]))
+    assert [k for p in reader.partitions() for _, k in p.paths] == [("us", "d0", "e 7", "x"), ("us", "d1", "e 7", "x")]
