@@ -26,7 +26,7 @@ def _tree(spark: SparkSession, d: str) -> str:
         F.lit("us").alias("realm_id"), F.replace("p_brand", F.lit("#"), F.lit("/")).alias("domain_id"), F.concat(F.lit("e "), F.floor(k / 20)).alias("entity_id"),
         F.concat(F.lit("part@"), k, F.lit(".json")).alias("name"), F.to_json(F.struct(k.alias("id"), size.alias("size"))).alias("content"), size,
     )
-    save = lambda some: some.drop("p_size").write.format("document_tree").option("path", root).mode("append").save()
+    save = lambda some: document_tree.save(some.drop("p_size"), root)
     save(rows)
     save(rows.where(size % 2 == 0).withColumn("content", F.concat(F.lit("new "), "content")))
     return root
