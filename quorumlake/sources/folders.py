@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
@@ -18,3 +18,10 @@ def shared(spark: SparkSession) -> str:
         root = "file://" + os.path.join(tempfile.gettempdir(), "quorumlake-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/quorumlake-{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows, written to a shared folder and read again: what several steps use is computed once."""
+    path = shared(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
