@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quorumlake.sources.tables import spread
+
 #: Chunks and queries of a block.
 CHUNKS, QUERIES = 1024, 256
 #: Vectors that centroids are fitted on at most; they are the only rows that the driver sees.
@@ -113,7 +115,8 @@ def exact(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     queries: query_id, vector: a stated set; chunks: chunk_id, vector.  Every block of chunks meets every block of
     queries.  Vectors of length 0 and null ones have no cosine and are never found.  Empty tables give no rows.
     """
-    return best_of(blocks(chunks, "chunk_id").crossJoin(_asked(queries)), k)
+    # pairs of blocks are long rows, and a batch of them is as long as a task has pairs: blocks are dealt to many tasks
+    return best_of(spread(blocks(chunks, "chunk_id")).crossJoin(_asked(queries)), k)
 
 
 def fitted_centroids(chunks: DataFrame, cells: int | None = None, sample: int = SAMPLE) -> np.ndarray:
