@@ -11,10 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quorumlake.sources.folders import kept
 from quorumlake.sources.tables import spread
 
 #: Chunks and queries of a block.
@@ -23,22 +24,30 @@ CHUNKS, QUERIES = 1024, 256
 SAMPLE = 20_000
 #: Cells at most, and rounds of fitting.
 CELLS, ROUNDS = 1024, 8
-#: Parts that a cell is dealt to when it is written, so that a cell of a third of all chunks isn't one task's.
+#: Parts that a cell is dealt to at most, so that a cell of a third of all chunks isn't one task's.  A cell has one for each
+#: full block, as each block of chunks meets each block of queries, and many small ones would meet more often.
 SPREAD = 16
+#: Vectors held against all centroids at once, and rows of a batch that comes of it, at most.
+PIECE, ROWS = 256, 4096
 #: Scores count to so many parts of one, as the exact ones do.
 SCALE = 1_000_000
 
 
-def blocks(rows: DataFrame, key: str, by: Sequence[str] = (), size: int = CHUNKS) -> DataFrame:
+def blocks(rows: DataFrame, key: str, by: Sequence[str] = (), size: int = CHUNKS, parts: Column | None = None) -> DataFrame:
     """by, ids, vectors: blocks of at most size rows of the same values of by.
 
-    rows: key, vector and the columns of by.  Rows are dealt by those values and SPREAD parts of each; without them they
-    stay where they are.  Vectors are stored as 32-bit floats, as they come; rows without one are left out.
+    rows: key, vector and the columns of by.  Rows are dealt by those values and parts of each, SPREAD where parts isn't
+    given; without values they stay where they are.  Vectors are stored as 32-bit floats, as they come; rows without one
+    are left out.
     """
-    kept = rows.where(F.col("vector").isNotNull()).select(*by, F.col(key).alias("id"), F.col("vector").cast("array<float>").alias("vector"))
+    some = rows.where(F.col("vector").isNotNull())
+    own = [*by, F.col(key).alias("id"), F.col("vector").cast("array<float>").alias("vector")]
     if by:
-        kept = kept.repartition(*by, F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions(*by)
-    fields = {f.name: f for f in kept.schema.fields}
+        part = F.pmod(F.xxhash64(key), F.lit(SPREAD) if parts is None else parts)
+        some = some.select(*own, part.alias("__part")).repartition(*by, "__part").sortWithinPartitions(*by).drop("__part")
+    else:
+        some = some.select(*own)
+    fields = {f.name: f for f in some.schema.fields}
     schema = T.StructType([*(fields[c] for c in by), T.StructField("ids", T.ArrayType(fields["id"].dataType)), T.StructField("vectors", T.BinaryType())])
     width = len(by)
 
@@ -58,7 +67,7 @@ def blocks(rows: DataFrame, key: str, by: Sequence[str] = (), size: int = CHUNKS
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, 1) for i in range(width)), ids, pa.array([body.tobytes()], pa.binary())], names=schema.names)
                 lo = hi
 
-    return kept.mapInArrow(run, schema)
+    return some.mapInArrow(run, schema)
 
 
 def _matrix(cell: pa.Scalar, rows: int) -> np.ndarray:
@@ -105,8 +114,8 @@ def best_of(met: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _asked(queries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return blocks(queries, "query_id", by, QUERIES).withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"})
+def _asked(queries: DataFrame, by: Sequence[str] = (), parts: Column | None = None) -> DataFrame:
+    return blocks(queries, "query_id", by, QUERIES, parts).withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"})
 
 
 def exact(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
@@ -141,32 +150,71 @@ def fitted_centroids(chunks: DataFrame, cells: int | None = None, sample: int =
     return centroids
 
 
-def _in_cells(rows: DataFrame, centroids: np.ndarray, key: str, probes: int = 1) -> DataFrame:
-    """cell, key, vector, likeness of each row and each of the ``probes`` nearest cells; vectors of length 0 are in cell -1."""
-    schema = T.StructType([T.StructField("cell", T.IntegerType()), rows.schema[key], T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("likeness", T.DoubleType())])
+def _unit(vectors: pa.Array, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length 1, or of 0 where they have none, and which those are."""
+    if len(centroids) and set(vectors.value_lengths().to_pylist()) - {centroids.shape[1]}:
+        raise ValueError(f"the index has vectors of {centroids.shape[1]} numbers")
+    own = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+    length = np.linalg.norm(own, axis=1)
+    return own / np.maximum(length, 1e-300)[:, None], length == 0
+
+
+def _near(rows: DataFrame, centroids: np.ndarray, key: str, probes: int = 1) -> DataFrame:
+    """key, vector, cells, likeness: each row once, with the ``probes`` nearest cells; vectors of length 0 have cell -1."""
+    schema = T.StructType([rows.schema[key], T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("likeness", T.ArrayType(T.DoubleType()))])
     shared = rows.sparkSession.sparkContext.broadcast(centroids)  # CELLS rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            if len(set(batch.column(1).value_lengths().to_pylist()) - {shared.value.shape[1]}) and len(shared.value):
-                raise ValueError(f"the index has vectors of {shared.value.shape[1]} numbers")
-            own = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), -1)
-            length = np.linalg.norm(own, axis=1)
-            like = (own / np.maximum(length, 1e-300)[:, None]) @ shared.value.T if len(shared.value) else np.zeros((len(batch), 0))
-            n = min(probes, like.shape[1])
-            near = np.argsort(-like, axis=1, kind="stable")[:, :n]
-            some = length > 0
-            at = np.concatenate([np.repeat(np.flatnonzero(some), n), np.flatnonzero(~some)])
-            cell = np.concatenate([near[some].reshape(-1), np.full((~some).sum(), -1)])
-            likeness = np.concatenate([np.take_along_axis(like, near, axis=1)[some].reshape(-1), np.ones((~some).sum())])
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch.column(0).take(take), batch.column(1).take(take), pa.array(likeness)], names=schema.names)
+        for batch in (b.slice(lo, PIECE) for b in batches for lo in range(0, len(b), PIECE)):
+            unit, none = _unit(batch.column(1), shared.value)
+            like = unit @ shared.value.T if len(shared.value) else np.zeros((len(batch), 0))
+            near = np.argsort(-like, axis=1, kind="stable")[:, :probes]
+            cells = [[-1] if z else c for z, c in zip(none, near.tolist(), strict=True)]
+            likeness = [[1.0] if z else x for z, x in zip(none, np.take_along_axis(like, near, axis=1).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.list_(pa.int32())), pa.array(likeness, pa.list_(pa.float64()))], names=schema.names)
 
     return rows.where(F.col("vector").isNotNull()).select(key, F.col("vector").cast("array<float>").alias("vector")).mapInArrow(run, schema)
 
 
+def _each_cell(near: DataFrame, key: str) -> DataFrame:
+    """cell, key, vector, likeness: a row for each cell of what _near() found."""
+    return near.select(key, "vector", F.explode(F.arrays_zip("cells", "likeness")).alias("x")).select(F.col("x.cells").alias("cell"), key, "vector", "x.likeness")
+
+
+def _open_cells(asked: DataFrame, centroids: np.ndarray, least: np.ndarray) -> DataFrame:
+    """cell, query_id, vector: the cells that may hold a chunk of a score of kth or more, but for those in cells.
+
+    asked: query_id, vector, cells, kth (null: every cell may).  Two bounds close a cell.  Its chunks are at most as far
+    from its centroid as the farthest one, so by the triangle inequality of angles their cosines with a query have a bound.
+    And they are no nearer to the query's nearest centroid than to their own, so a query is at least as far from them as
+    from the plane between the two centroids.
+    """
+    schema = T.StructType([T.StructField("cell", T.IntegerType()), asked.schema["query_id"], T.StructField("vector", T.ArrayType(T.FloatType()))])
+    shared = asked.sparkSession.sparkContext.broadcast((centroids, least))  # CELLS rows at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        middle, own = shared.value
+        square = (middle**2).sum(axis=1)
+        apart = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * middle @ middle.T, 0))
+        angle = lambda c: np.arccos(np.clip(c, -1, 1))
+        for batch in (b.slice(lo, PIECE) for b in batches for lo in range(0, len(b), PIECE)):
+            unit, _ = _unit(batch.column(1), middle)
+            like = unit @ middle.T
+            # scores are rounded, so a chunk of the same score may be a little farther
+            wanted = np.maximum(batch.column(3).fill_null(-1.0).to_numpy(zero_copy_only=False) - 2 / SCALE, -1)[:, None]
+            best = like.argmax(axis=1)
+            behind = like[np.arange(len(like)), best][:, None] - like
+            may = (behind <= np.sqrt(2 - 2 * wanted) * apart[best] + 1 / SCALE) & (np.cos(np.maximum(angle(like) - angle(own), 0)) >= wanted) & (own <= 1.5)
+            seen = batch.column(2)
+            may[np.repeat(np.arange(len(like)), seen.value_lengths()), seen.flatten()] = False
+            q, cell = np.nonzero(may)
+            for lo in range(0, len(q), ROWS):
+                take = pa.array(q[lo : lo + ROWS], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(cell[lo : lo + ROWS], pa.int32()), batch.column(0).take(take), batch.column(1).take(take)], names=schema.names)
+
+    return asked.select("query_id", "vector", "cells", "kth").mapInArrow(run, schema)
+
+
 @dataclass(frozen=True)
 class InvertedFile:
     """An index of chunks in cells around centroids: a search reads the cells that are nearest to its queries.
@@ -179,23 +227,27 @@ class InvertedFile:
     path: str
     centroids: np.ndarray
     least: np.ndarray
+    parts: DataFrame
 
     @classmethod
     def write(cls, chunks: DataFrame, path: str, cells: int | None = None, sample: int = SAMPLE) -> InvertedFile:
         """Writes every chunk (chunk_id, vector) to the cell of its nearest centroid; only the centroids rest on a sample."""
         centroids = fitted_centroids(chunks, cells, sample)
-        dealt = _in_cells(chunks, centroids, "chunk_id")
-        blocks(dealt, "chunk_id", ["cell"]).write.partitionBy("cell").parquet(f"{path}/blocks")
-        chunks.select("chunk_id").limit(0).write.parquet(f"{path}/ids")  # an index of nothing has no block that tells their type
+        dealt = _each_cell(_near(chunks, centroids, "chunk_id"), "chunk_id")
         bounds = dealt.groupBy("cell").agg(F.min("likeness").alias("least"), F.count("*").alias("n"))
         rows = chunks.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centroids)], "cell int, centroid array<double>")
         rows.join(bounds, "cell", "full").write.parquet(f"{path}/cells")
-        return cls.open(chunks.sparkSession, path)
+        chunks.select("chunk_id").limit(0).write.parquet(f"{path}/ids")  # an index of nothing has no block that tells their type
+        index = cls.open(chunks.sparkSession, path)
+        blocks(dealt.join(F.broadcast(index.parts), "cell"), "chunk_id", ["cell"], parts=F.col("parts")).write.partitionBy("cell").parquet(f"{path}/blocks")
+        return index
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> InvertedFile:
-        rows = sorted(spark.read.parquet(f"{path}/cells").where("cell >= 0").collect(), key=lambda r: r.cell)  # CELLS at most
-        return cls(spark, path, np.array([r.centroid for r in rows], dtype=float) if rows else np.zeros((0, 1)), np.array([2.0 if r.least is None else r.least for r in rows]))
+        cells = spark.read.parquet(f"{path}/cells")
+        rows = sorted(cells.where("cell >= 0").collect(), key=lambda r: r.cell)  # CELLS at most
+        parts = cells.where("n IS NOT NULL").select("cell", F.least(F.lit(SPREAD), F.ceil(F.col("n") / CHUNKS)).cast("int").alias("parts"))
+        return cls(spark, path, np.array([r.centroid for r in rows], dtype=float) if rows else np.zeros((0, 1)), np.array([2.0 if r.least is None else r.least for r in rows]), parts)
 
     def size(self) -> int:
         return self.spark.read.parquet(f"{self.path}/cells").agg(F.sum("n")).first()[0] or 0
@@ -207,30 +259,28 @@ class InvertedFile:
 
     def search(self, queries: DataFrame, k: int = 5, probes: int = 8) -> DataFrame:
         """query_id, chunk_id, score, rank: the k best chunks of the ``probes`` nearest cells, by exact cosines."""
-        return self._in(_in_cells(queries, self.centroids, "query_id", probes).where("cell >= 0"), k)
+        return self._in(_each_cell(_near(queries, self.centroids, "query_id", probes), "query_id").where("cell >= 0"), k)
 
     def search_all(self, queries: DataFrame, k: int = 5, probes: int = 8) -> DataFrame:
         """As search(), and then every other cell that may hold a better chunk than the k-th found: the exact result.
 
-        A chunk is at most as far from its cell's centroid as the farthest one, so by the triangle inequality of angles
-        its cosine with a query has a bound; cells whose bound is below the k-th score are never read.
+        Queries and what is found first are kept in a shared folder, so queries are embedded once.  A query goes on with
+        the cells that are open to it alone.
         """
-        first = self.search(queries, k, probes)
+        asked = kept(_near(queries, self.centroids, "query_id", probes)).where(F.get("cells", F.lit(0)) >= 0)
+        first = kept(self._in(_each_cell(asked, "query_id"), k))
         kth = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-        every = _in_cells(queries, self.centroids, "query_id", len(self.centroids)).where("cell >= 0")
-        seen = Window.partitionBy("query_id").orderBy(F.desc("likeness"), "cell")
-        bound = self.spark.createDataFrame([(i, float(x)) for i, x in enumerate(self.least)], "cell int, least double")
-        angle = lambda c: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
-        reach = F.cos(F.greatest(F.lit(0.0), angle(F.col("likeness")) - angle(F.col("least"))))
-        open_ = every.withColumn("nth", F.row_number().over(seen)).where(F.col("nth") > probes).join(F.broadcast(bound.where("least <= 1.5")), "cell")
-        open_ = open_.join(kth, "query_id", "left").where(F.col("kth").isNull() | (reach + 2 / SCALE >= F.col("kth")))
-        more = self._in(open_.select("cell", "query_id", "vector"), k)
+        more = self._in(_open_cells(asked.join(kth, "query_id", "left"), self.centroids, self.least), k)
         both = first.union(more).drop("rank")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
         return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     def _in(self, asked: DataFrame, k: int) -> DataFrame:
-        return best_of(self._blocks().join(_asked(asked, ["cell"]), "cell"), k)
+        # each part of a cell's chunks meets all that is asked of the cell; what is asked of cells without chunks has no parts
+        parts = F.broadcast(self.parts)
+        own = self._blocks().join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int")).drop("parts")
+        met = _asked(asked.join(parts, "cell"), ["cell"], F.col("parts")).join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        return best_of(own.join(met, ["cell", "part"]), k)
 
 
 def recall(found: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -58,6 +58,27 @@ def test_index(spark, vectors, tmp_path):
         index.search(spark.createDataFrame([(1, [1.0])], "query_id long, vector array<float>")).collect()
 
 
+def test_open_cells(spark, tmp_path, monkeypatch):
+    """A query that is a chunk itself goes on with few cells, not with all of them; large cells are met by parts."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(300)]
+    rows += [(1000 + i, [x + 1e-5 for x in v]) for i, v in rows[:60]] + [(2000 + i, rows[5][1]) for i in range(60)]
+    chunks = spark.createDataFrame(rows, CHUNKS).repartition(3)
+    monkeypatch.setattr(vector_index, "CHUNKS", 32)
+    index = vector_index.InvertedFile.write(chunks, f"file://{tmp_path}/open", cells=20)
+    asked = [(i, v) for i, v in rows if i % 2 == 0] + [(5001, [0.0] * 16)]
+    queries = spark.createDataFrame(asked, "query_id long, vector array<float>")
+    for k in (1, 4, 600):
+        assert told(index.search_all(queries, k, probes=2)) == top(asked, rows, k)
+    near = vector_index._near(queries, index.centroids, "query_id", 2).where("cells[0] >= 0")
+    told_of = lambda kth: vector_index._open_cells(near.withColumn("kth", F.lit(kth).cast("double")), index.centroids, index.least).count()
+    assert told_of(1.0) < len(asked) < told_of(0.9) < told_of(None) == 18 * (len(asked) - 1)
+    assert {r.parts > 1 for r in index.parts.collect()} == {True, False}
+    assert index._blocks().count() < 3 * index.parts.agg(F.sum("parts")).first()[0]
+    none = vector_index.InvertedFile.write(spark.createDataFrame([], CHUNKS), f"file://{tmp_path}/nothing")
+    assert none.search_all(queries).count() == 0
+
+
 def test_index_of_nothing(spark, tmp_path):
     none = spark.createDataFrame([], CHUNKS)
     index = vector_index.InvertedFile.write(none, f"file://{tmp_path}/none")
