@@ -68,3 +68,11 @@ def test_shares_of_a_domain(spark, tmp_path, monkeypatch):
     reader = document_tree.TreeReader(f"{tmp_path}/t")
     list(reader.pushFilters([document_tree.EqualTo(("entity_id",), "e 7")]))
     assert [k for p in reader.partitions() for _, k in p.paths] == [("us", "d0", "e 7", "x"), ("us", "d1", "e 7", "x")]
+
+
+def test_all_analyses_are_stored(spark, small):
+    """Every entity's analyses go through the store, not those of some entities."""
+    from quorumlake.sources import tables
+
+    keys = lambda rows: {(r.entity_id, r.domain_id) for r in rows.select(F.col("entity_id").cast("string").alias("entity_id"), "domain_id").distinct().collect()}
+    assert keys(catalogue.QUERIES["stored_analyses"](spark, small)) == keys(tables.answers(spark, small, current=True))
