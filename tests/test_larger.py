@@ -76,3 +76,19 @@ def test_all_analyses_are_stored(spark, small):
 
     keys = lambda rows: {(r.entity_id, r.domain_id) for r in rows.select(F.col("entity_id").cast("string").alias("entity_id"), "domain_id").distinct().collect()}
     assert keys(catalogue.QUERIES["stored_analyses"](spark, small)) == keys(tables.answers(spark, small, current=True))
+
+
+def test_names_of_a_folder(tmp_path):
+    """A local folder is read piece by piece, with the names that a listing of any store gives."""
+    from pyarrow import fs
+
+    from quorumlake.sources import document_tree
+
+    for i in range(50):
+        (tmp_path / f"e {i}").mkdir()
+        (tmp_path / f"f{i}").write_text("x")
+    (tmp_path / "to").symlink_to(tmp_path / "e 1")
+    local, other = fs.LocalFileSystem(), fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    for folders in (True, False):
+        assert sorted(document_tree._names(local, str(tmp_path), folders)) == sorted(document_tree._names(other, "", folders)) == document_tree._children(local, str(tmp_path), folders)
+    assert len(document_tree._children(local, str(tmp_path), True)) == 51 and not document_tree._children(local, f"{tmp_path}/none", True)
